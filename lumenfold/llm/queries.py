@@ -7,14 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_bpe
+from . import decontaminate, exact_dedup, html_extract, language_id, near_dedup, pii_crf, secrets_scan, sentencepiece_bpe, toxicity
 from .common import in_crc_fold, read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held = in_crc_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), ~held)
+    return toxicity.score_column(docs, model).select(
+        "doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_column(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -27,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = in_crc_fold(F.col("doc_id"), 3, 1)
@@ -36,9 +53,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op4_sentencepiece, op5_decontaminate, op6_exact_dedup, op9_language_id)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_minhash_near_dedup, op3_secret_scan, op4_sentencepiece, op5_decontaminate,
+        op6_exact_dedup, op7_pii, op9_language_id, op10_html_extraction,
+    )
+}
 
 UPPER_TO_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
