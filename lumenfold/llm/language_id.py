@@ -147,7 +147,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     w.append((n[b[-1]] / len(x)).astype(np.float32))
                     keep.append(i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(keep), batch.column("lang").take(keep), pa.array(b, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))],
+                [batch.column("doc_id").take(pa.array(keep, pa.int64())), batch.column("lang").take(pa.array(keep, pa.int64())), pa.array(b, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))],
                 names=["doc_id", "lang", "b", "w"],
             )
 
