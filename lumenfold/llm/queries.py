@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, near_dedup, pii_crf, secrets_scan, sentencepiece_bpe, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, near_dedup, pii_crf, secrets_scan, sentencepiece_bpe, substring_dedup, toxicity
 from .common import in_crc_fold, read
 
 
@@ -44,6 +44,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = in_crc_fold(F.col("doc_id"), 3, 1)
@@ -61,7 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_minhash_near_dedup, op3_secret_scan, op4_sentencepiece, op5_decontaminate,
-        op6_exact_dedup, op7_pii, op9_language_id, op10_html_extraction,
+        op6_exact_dedup, op7_pii, op8_substring_dedup, op9_language_id, op10_html_extraction,
     )
 }
 
