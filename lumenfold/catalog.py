@@ -524,7 +524,7 @@ def relabel_classes(spark, sf_dir):
     return relabel(o)
 
 
-@query("SELECT a.l AS "lambda", b.gamma, c.degree::BIGINT AS degree FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) a(l), (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) b(gamma), (VALUES (1), (2), (3)) c(degree)")
+@query('SELECT a.l AS "lambda", b.gamma, c.degree::BIGINT AS degree FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) a(l), (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) b(gamma), (VALUES (1), (2), (3)) c(degree)')
 def grid_allcomb(spark, sf_dir):
     from .plans.results import grid
 
