@@ -529,3 +529,131 @@ def grid_allcomb(spark, sf_dir):
     from .plans.results import grid
 
     return grid(spark, lambda_=[0.01, 0.1, 1.0], gamma=[0.5, 2.0], degree=[1, 2, 3]).withColumnRenamed("lambda_", "lambda")
+
+
+# ---- models in groups: checked by tests with tolerances -------------------------------------------------------------
+
+
+def _spec(**kw):
+    from .plans.analysis import AnalysisSpec
+
+    return AnalysisSpec(**({"cv": "predefined"} | kw))
+
+
+def _two_classes(t: TensorFrame) -> TensorFrame:
+    return TensorFrame(t.df.withColumn("clabel", F.when(F.col("clabel") <= 5, 1).otherwise(2)), t.search)
+
+
+def _cv(name: str, model: str, binary: bool, **kw) -> None:
+    def f(spark, sf_dir):
+        from .plans.analysis import classify
+
+        t = embeddings_tensor(spark, sf_dir)
+        return classify(_two_classes(t) if binary else t, _spec(model=model, **kw), 2 if binary else 10)
+
+    f.__name__ = name
+    query()(f)
+
+
+_cv("lda_cv", "lda", True, metric=("accuracy", "auc"), preprocess=(("zscore", {}),))
+_cv("multiclass_lda_cv", "multiclass_lda", False, metric=("accuracy", "confusion"))
+_cv("kernel_fda_cv", "kernel_fda", False)
+_cv("logreg_cv", "logreg", True)
+_cv("svm_cv", "svm", True, hyperparameter={"kernel": "linear"})
+_cv("ensemble_cv", "ensemble", True, hyperparameter={"nlearners": 10, "nfeatures": 0.5})
+_cv("pca_lda_cv", "lda", True, preprocess=(("pca", {"n": 4}),))
+_cv("mmn_lda_cv", "lda", True, preprocess=(("mmn", {}),))
+
+
+@query()
+def lda_time_by_time(spark, sf_dir):
+    from .plans.analysis import classify_time_by_time
+
+    return classify_time_by_time(_two_classes(embeddings_tensor(spark, sf_dir)), _spec(model="lda"))
+
+
+@query()
+def lda_transfer(spark, sf_dir):
+    from .plans.analysis import transfer
+
+    t = _two_classes(embeddings_tensor(spark, sf_dir))
+    return transfer(t.where("fold <= 3"), t.where("fold > 3"), _spec(model="lda"))
+
+
+def _regress(name: str, model: str) -> None:
+    def f(spark, sf_dir):
+        from .plans.analysis import regress
+
+        t = embeddings_tensor(spark, sf_dir)
+        y = F.element_at("features", 1) * 2 + F.element_at("features", 2)
+        return regress(TensorFrame(t.df.withColumn("y", y), t.search, "y"), _spec(model=model, metric=("mean_absolute_error", "r_squared")))
+
+    f.__name__ = name
+    query()(f)
+
+
+_regress("ridge_cv", "ridge")
+_regress("kernel_ridge_cv", "kernel_ridge")
+
+
+def _filters(name: str, run) -> None:
+    def f(spark, sf_dir):
+        import numpy as np
+
+        from .sources.simulate import oscillation_arrays
+
+        x, y, _ = oscillation_arrays(60, 8, 256, bands=((8, 12), (18, 24)))
+        w = np.atleast_2d(run(x, y))
+        return spark.createDataFrame([(i, j, float(w[i, j])) for i in range(w.shape[0]) for j in range(w.shape[1])], "channel INT, component INT, weight DOUBLE")
+
+    f.__name__ = name
+    query()(f)
+
+
+def _csp(x, y):
+    from .operators.spatial import fit_csp
+
+    return fit_csp(x, y, 1)[0]
+
+
+def _ssd(x, y):
+    from .operators.spatial import fit_ssd
+    from .sources.simulate import bandpass
+
+    return fit_ssd(bandpass(x, 256, 8, 12), bandpass(x, 256, 5, 15) - bandpass(x, 256, 7, 13), 3)[0]
+
+
+def _mmn(x, y):
+    from .operators.spatial import fit_mmn
+
+    return fit_mmn(x)
+
+
+for _name, _run in (("csp_filters", _csp), ("ssd_filters", _ssd), ("mmn_filters", _mmn)):
+    _filters(_name, _run)
+
+
+@query()
+def stat_cluster_2d(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("perm"), F.hour("ts").cast("bigint").alias("h"), (F.dayofweek("ts") - 1).cast("bigint").alias("d")).agg(F.avg("value").alias("stat"))
+    return stats.clusters_nd(e, ["h", "d"], [24, 7], 52.0)
+
+
+def _simulated(name: str, make) -> None:
+    def f(spark, sf_dir):
+        from .sources import simulate
+
+        return make(simulate, spark)
+
+    f.__name__ = name
+    query()(f)
+
+
+_simulated("sim_gaussian", lambda s, spark: s.gaussian(spark, 200, 5, 3))
+_simulated("sim_spiral", lambda s, spark: s.spiral(spark, 500))
+_simulated("sim_radial", lambda s, spark: s.radial(spark, 500))
+_simulated("sim_checkerboard", lambda s, spark: s.checkerboard(spark, 500))
+_simulated("sim_regression", lambda s, spark: s.regression(spark, "linear", 500, 3))
+_simulated("sim_erp", lambda s, spark: s.erp_peaks(spark, 20, 50, [15, 30], [3, 5], [1, -1], [[1, 0.5], [0.2, 1]]))
+_simulated("sim_oscillations", lambda s, spark: s.oscillations(spark, n=4, channels=3, times=64))
+_simulated("sim_coupled_oscillations", lambda s, spark: s.oscillations(spark, True, n=4, channels=3, times=64))
