@@ -14,9 +14,11 @@ No group is ever expanded into all its pairs:
 * texts of equal shingle sets become one class before the search;
 * within an index key, members are first compared with the key's most connected
   member (hub) only, and confirmed links are contracted to components;
-* only keys that still hold several components go on, and only pairs across
-  components whose 128-bit sketches are near enough are verified. The sketch
-  test is 6 standard deviations wide of the threshold.
+* hub pairs whose 128-bit sketches are too far apart (6 standard deviations wide
+  of the threshold) are not verified then;
+* keys that still hold several components go on: documents connected by them are
+  compared exactly, each pair once, in blocks of a bounded number of documents,
+  and only links that join two components are returned.
 
 Contract: words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; the
 set holds the distinct ``words``-word shingles, or the whole sequence where a
@@ -32,9 +34,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +141,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def _near(percent: int, a: str = "x", b: str = "y"):
+def _near(percent: int, a: str = "x", b: str = "y") -> Column:
     """Sizes that allow the similarity, and sketches within reach of it."""
     errors = F.lit(0)
     for k in (0, 1):
@@ -174,18 +177,79 @@ def links(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFrame
     sets, _ = save(docs.where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id BIGINT, s ARRAY<BIGINT>"), "sets")
     edges, _ = save(_confirmed(first, sets, percent), "hub-links")
     comp = components(edges).select(F.col("id").alias("d"), "comp")
-    parts = known.join(comp, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    mixed = parts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest, _ = save(parts.join(mixed, "key").select("key", "d", "n", "k0", "k1", "comp"), "index-rest")
-    second = (
-        rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.comp") != F.col("y.comp")) & _near(percent))
-        .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    second, _ = save(second, "rest-pairs")
-    more, _ = save(edges.union(_confirmed(second, sets, percent)), "links")
+    parts = known.select("key", "d").join(comp, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
+    mixed = parts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("d").alias("head")).where("lo <> hi").select("key", "head")
+    rest, _ = save(parts.join(mixed, "key").select("d", "comp", "head").distinct(), "index-rest")
+    more, _ = save(edges.union(_rest_links(rest, sets, percent)), "links")
     return signed, more
 
 
+def _rest_links(rest: DataFrame, sets: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """Links (a, b) that join components of documents which share an index key: (d, comp, head of the key).
+
+    Documents connected by shared keys form a cluster, in which every pair is compared once: clusters are cut into
+    blocks of about ``block`` documents, a task takes two blocks, intersections come from products of membership
+    matrices, and only links that join two components leave it.
+    """
+    cluster = components(rest.where("d <> head").select(F.col("d").alias("a"), F.col("head").alias("b"))).select(F.col("id").alias("d"), F.col("comp").alias("cl"))
+    members = rest.select("d", "comp").distinct().join(cluster, "d")
+    sizes = members.groupBy("cl").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    placed = members.join(sizes, "cl").withColumn("own", F.pmod(F.xxhash64("d"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.select("cl", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "d", "comp")
+    joined = placed.join(sets.withColumnRenamed("doc_id", "d"), "d")
+
+    def compare(key, part: pd.DataFrame) -> pd.DataFrame:
+        found = block_links(part["s"].tolist(), part["comp"].to_numpy(), part["own"].to_numpy() == key[1], key[1] == key[2], percent)
+        d = part["d"].to_numpy()
+        return pd.DataFrame({"a": [min(d[i], d[j]) for i, j in found], "b": [max(d[i], d[j]) for i, j in found]}, dtype="int64")
+
+    return joined.groupBy("cl", "lo", "hi").applyInPandas(compare, "a BIGINT, b BIGINT")
+
+
+def block_links(sets: list[np.ndarray], comp: np.ndarray, first: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of the first and the second block (or within one) that join components, as a spanning forest."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets) if len(sets) else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    number = np.cumsum(times > 1) - 1
+    col, owner = number[col[shared]], owner[shared]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    left = np.arange(len(sets)) if same else np.flatnonzero(first)
+    right = np.arange(len(sets)) if same else np.flatnonzero(~first)
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    top = int(col[-1]) + 1 if len(col) else 0
+    for start in range(0, top, 2048):
+        a, b = np.searchsorted(col, [start, start + 2048])
+        x = np.zeros((len(left), 2048), np.float32)
+        y = np.zeros((len(right), 2048), np.float32)
+        for m, where in ((x, place[0, owner[a:b]]), (y, place[1, owner[a:b]])):
+            ok = where >= 0
+            m[where[ok], col[a:b][ok] - start] = 1
+        common += x @ y.T
+    i = common.astype(np.int64)
+    hit = (100 * i >= percent * (size[left][:, None] + size[right][None] - i)) & (comp[left][:, None] != comp[right][None])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for p, q in np.argwhere(hit):
+        a, b = find(comp[left[p]]), find(comp[right[q]])
+        if a != b:
+            root[a] = b
+            out.append((left[p], right[q]))
+    return out
+
+
 def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed, edges = links(docs, words, percent)
