@@ -23,69 +23,62 @@ import tempfile
 import numpy as np
 
 END = 0  # stands in front of whole strings; byte b is symbol b + 1
-ROW = np.dtype([("string", np.int32), ("length", np.int16), ("front", np.int16)])
-
-
-def _fronts(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, string: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Symbol in front of the suffix of ``length`` of each ``string``."""
-    at = starts[string] + sizes[string] - length - 1
-    return np.where(length < sizes[string], data[np.maximum(at, 0)].astype(np.int16) + 1, END).astype(np.int16)
 
 
 def suffix_table(strings: list[bytes], memory_rows: int = 4_000_000, chunk_rows: int = 1_000_000, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(string, length) of all non-empty suffixes in sorted order; equal suffixes stay in string order."""
-    data = np.frombuffer(b"".join(strings) or b"\0", np.uint8)
+    if not strings:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
     sizes = np.array([len(s) for s in strings], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-    if not len(strings) or sizes.max() >= 2**15:
-        if len(strings):
-            raise ValueError("strings of 32,768 bytes or more are not supported")
-        return np.empty(0, np.int32), np.empty(0, np.int16)
-    total = int(sizes.sum()) + len(strings)
-    names = np.arange(len(strings), dtype=np.int32)
-    empty = np.zeros(len(strings), ROW)
-    empty["string"] = names
-    empty["front"] = _fronts(data, starts, sizes, names, np.zeros(len(strings), np.int64))
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    # a row is its suffix's place in ``front``: the symbols of each string from its end, then END
+    bases = np.cumsum(sizes + 1) - sizes - 1
+    front = np.zeros(int(sizes.sum()) + len(strings), np.uint8 if not len(data) or data.max() < 255 else np.uint16)
+    ends = np.cumsum(sizes)
+    within = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    front[np.repeat(bases + sizes - 1, sizes) - within] = data.astype(front.dtype) + 1
+    empty = bases.astype(np.int32 if len(front) < 2**31 else np.int64)
     rounds = int(sizes.max())
-    if total <= memory_rows:
+    if len(front) <= memory_rows:
         table = empty
         for _ in range(rounds):
-            order = np.argsort(table["front"].astype(np.uint16), kind="stable")
-            order = order[int((table["front"] == END).sum()) :]
-            moved = table[order]
-            moved["length"] += 1
-            moved["front"] = _fronts(data, starts, sizes, moved["string"], moved["length"].astype(np.int64))
-            table = np.concatenate([empty, moved])
-        table = table[len(strings) :]
-        return table["string"].copy(), table["length"].copy()
+            ahead = front[table]
+            order = np.argsort(ahead, kind="stable")[int((ahead == END).sum()) :]
+            table = np.concatenate([empty, table[order] + 1])
+    else:
+        table = _rounds_in_files(front, empty, rounds, chunk_rows, folder)
+    table = table[len(strings) :]
+    string = np.searchsorted(bases, table, side="right") - 1
+    return string.astype(np.int32), table - bases[string]
+
+
+def _rounds_in_files(front: np.ndarray, empty: np.ndarray, rounds: int, chunk_rows: int, folder: str | None) -> np.ndarray:
     with tempfile.TemporaryDirectory(dir=folder) as home:
         path = os.path.join(home, "table")
         empty.tofile(path)
         for _ in range(rounds):
             buckets: dict[int, str] = {}
-            for part in _parts(path, chunk_rows):
-                part = part[np.argsort(part["front"].astype(np.uint16), kind="stable")]
-                symbols, at = np.unique(part["front"], return_index=True)
+            for part in _parts(path, empty.dtype, chunk_rows):
+                ahead = front[part]
+                order = np.argsort(ahead, kind="stable")
+                part, ahead = part[order], ahead[order]
+                symbols, at = np.unique(ahead, return_index=True)
                 for symbol, a, b in zip(symbols.tolist(), at, [*at[1:], len(part)]):
                     if symbol != END:
                         with open(buckets.setdefault(symbol, os.path.join(home, f"b{symbol}")), "ab") as out:
-                            part[a:b].tofile(out)
+                            (part[a:b] + 1).tofile(out)
             with open(path, "wb") as out:
                 empty.tofile(out)
                 for symbol in sorted(buckets):
-                    for part in _parts(buckets[symbol], chunk_rows):
-                        part["length"] += 1
-                        part["front"] = _fronts(data, starts, sizes, part["string"], part["length"].astype(np.int64))
+                    for part in _parts(buckets[symbol], empty.dtype, chunk_rows):
                         part.tofile(out)
                     os.remove(buckets[symbol])
-        parts = list(_parts(path, chunk_rows))
-        table = np.concatenate(parts)[len(strings) :]
-        return table["string"].copy(), table["length"].copy()
+        return np.concatenate(list(_parts(path, empty.dtype, chunk_rows)))
 
 
-def _parts(path: str, rows: int):
+def _parts(path: str, kind: np.dtype, rows: int):
     with open(path, "rb") as f:
-        while len(part := np.fromfile(f, ROW, rows)):
+        while len(part := np.fromfile(f, kind, rows)):
             yield part
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_collection import repeats
-from .common import drop_path, mix, save, slices
+from .common import mix, save, slices
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # 30
@@ -157,23 +157,53 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 4_000_000):
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for doc, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "marks"))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for m in marks:
                     left = max(0, m["pos"] - REACH)
-                    for c, v in zip(cols, (m["gram"], doc, left, raw[left : m["pos"] + LENGTH])):
+                    for c, v in zip(cols, (m["gram"], doc, left, m["pos"] - left, raw[left : m["pos"] + LENGTH])):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["gram", "doc", "left", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["gram", "doc", "left", "off", "bytes"])
+
+
+def _alike(gram: list[int], doc: list[int], off: list[int], strings: list[bytes]) -> list[tuple[int, int, int]]:
+    """(row, start, end) of the parts of contexts that can hold a shared 50-byte string.
+
+    A shared string around a 20-byte anchor has 15 bytes or more on one side of it. Where no other document has the same
+    15 bytes there, it has fewer on that side, and the context is cut to 14.
+    """
+    half = REACH // 2
+    seen: dict[tuple, int] = {}
+    shared: set[tuple] = set()
+    keys = []
+    for g, d, o, s in zip(gram, doc, off, strings):
+        own = ((g, 0, s[o - half : o]) if o >= half else None, (g, 1, s[o + GRAM : o + GRAM + half]) if len(s) >= o + GRAM + half else None)
+        keys.append(own)
+        for k in own:
+            if k is not None and seen.setdefault(k, d) != d:
+                shared.add(k)
+    out = []
+    for i, (before, after) in enumerate(keys):
+        a = 0 if before in shared else max(0, off[i] - half + 1)
+        b = len(strings[i]) if after in shared else min(len(strings[i]), off[i] + GRAM + half - 1)
+        if (before in shared or after in shared) and b - a >= LENGTH:
+            out.append((i, a, b))
+    return out
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by gram -> covered intervals."""
-    for part in _by_gram(batches, ["gram", "doc", "left", "bytes"]):
-        gram, doc, left = (part[c].to_numpy() for c in ("gram", "doc", "left"))
-        # the gram in front keeps contexts of different anchors apart
+    for part in _by_gram(batches, ["gram", "doc", "left", "off", "bytes"]):
         strings = part["bytes"].to_pylist()
-        step = 40_000
+        alike = _alike(part["gram"].to_pylist(), part["doc"].to_pylist(), part["off"].to_pylist(), strings)
+        if not alike:
+            continue
+        rows = [i for i, _, _ in alike]
+        gram, doc, left = (part[c].to_numpy()[rows] for c in ("gram", "doc", "left"))
+        left = left + np.array([a for _, a, _ in alike])
+        strings = [strings[i][a:b] for i, a, b in alike]
+        step = 8_000
         cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
         bounds = [0]
         for a, b in zip(cuts, cuts[1:]):
@@ -232,7 +262,6 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
     found = docs.mapInArrow(_find, ANCHOR)
-    # texts that an earlier document repeats as a whole need no anchors
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settled = (
         found.where("NOT done").select("gram", "context", "doc", "pos").repartition(n, "gram").sortWithinPartitions("gram", "context", "doc")
@@ -243,7 +272,7 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     marks = settled.where("gram IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
     contexts = (
         docs.withColumnRenamed("doc_id", "doc").join(marks, "doc").select("doc", "text", "marks")
-        .mapInArrow(_contexts, "gram BIGINT, doc BIGINT, left BIGINT, bytes BINARY")
+        .mapInArrow(_contexts, "gram BIGINT, doc BIGINT, left BIGINT, off BIGINT, bytes BINARY")
         .repartition(n, "gram").sortWithinPartitions("gram")
         .mapInArrow(_compare, "doc BIGINT, a BIGINT, b BIGINT")
     )
