@@ -163,12 +163,17 @@ def fit(docs: DataFrame, train_rows: Column, sample: int = 4000, seed: int = 7)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (unit < min(1.0, share / n)))
-    got = rows.where(chosen).mapInArrow(_features, "doc_id BIGINT, lang STRING, b ARRAY<INT>, w ARRAY<FLOAT>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
-    if not got:
+    got = rows.where(chosen).mapInArrow(_features, "doc_id BIGINT, lang STRING, b ARRAY<INT>, w ARRAY<FLOAT>").toArrow().combine_chunks()
+    if not got.num_rows:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    langs = sorted({r["lang"] for r in got})
-    return train([(np.array(r["b"], np.int64), np.array(r["w"], np.float32)) for r in got], np.array([langs.index(r["lang"]) for r in got]), langs, seed=seed)
+    # numpy views of the Arrow lists: no Python object for each feature on the driver
+    ids, names = got.column("doc_id").to_pylist(), got.column("lang").to_pylist()
+    b, w = (pa.concat_arrays(got.column(c).chunks) for c in ("b", "w"))
+    ends, flat_b, flat_w = b.offsets.to_numpy(), b.values.to_numpy(), w.values.to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], names[i]))
+    langs = sorted(set(names))
+    counts_ = [(flat_b[ends[i] : ends[i + 1]], flat_w[ends[i] : ends[i + 1]]) for i in order]
+    return train(counts_, np.array([langs.index(names[i]) for i in order]), langs, seed=seed)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
