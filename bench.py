@@ -22,7 +22,7 @@ def main() -> None:
     times = {}
     for name in NAMES:
         runs = []
-        for _ in range(4):
+        for _ in range(3):
             began = time.perf_counter()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
