@@ -100,11 +100,15 @@ def _encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes
     return np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64), raw
 
 
-ANCHOR = "gram BIGINT, context BIGINT, doc BIGINT, pos BIGINT, done BOOLEAN"
+ANCHOR = "gram BIGINT, context BIGINT, doc BIGINT, pos BIGINT"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors whose document is the smallest of the batch for its context; of the others ``done`` ones, covered already."""
+    """Anchors with their gram (0 or more), those of the batch's smallest document for a context only.
+
+    The others are covered already. They go along with a negative number drawn from document and position for a gram, so
+    that the shuffle spreads them.
+    """
     for whole in batches:
         for batch in slices(whole, 2_000_000):
             data, sizes, _ = _encode(batch.column("text").to_pylist())
@@ -114,9 +118,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, pos, gram, context = doc[order], pos[order], gram[order], context[order]
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])]) if len(doc) else np.zeros(0, bool)
             least = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))] if len(doc) else doc
+            spread = ~(mix(doc.astype(np.uint64) * np.uint64(_BASE) + pos.astype(np.uint64)) >> np.uint64(1)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int64)), pa.array(doc > least)],
-                names=["gram", "context", "doc", "pos", "done"],
+                [pa.array(np.where(doc > least, spread, gram.view(np.int64))), pa.array(context.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int64))],
+                names=["gram", "context", "doc", "pos"],
             )
 
 
@@ -147,7 +152,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(new_gram)
         group = np.cumsum(new_gram) - 1
         lo, hi = np.minimum.reduceat(least, heads), np.maximum.reduceat(least, heads)
-        covered, open_ = doc > least, (doc == least) & (lo < hi)[group]
+        covered = (doc > least) | (gram < 0)
+        open_ = ~covered & (lo < hi)[group]
         keep = np.flatnonzero(covered | open_)
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[keep]), pa.array(pos[keep]), pa.array(gram[keep], mask=covered[keep])], names=["doc", "pos", "gram"]
@@ -264,11 +270,10 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     found = docs.mapInArrow(_find, ANCHOR)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settled = (
-        found.where("NOT done").select("gram", "context", "doc", "pos").repartition(n, "gram").sortWithinPartitions("gram", "context", "doc")
+        found.repartition(n, "gram").sortWithinPartitions("gram", "context", "doc")
         .mapInArrow(_settle, "doc BIGINT, pos BIGINT, gram BIGINT")
     )
     settled, settled_path = save(settled, "anchors")
-    local = found.where("done").select("doc", "pos")
     marks = settled.where("gram IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("pos", "gram")).alias("marks"))
     contexts = (
         docs.withColumnRenamed("doc_id", "doc").join(marks, "doc").select("doc", "text", "marks")
@@ -277,7 +282,7 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         .mapInArrow(_compare, "doc BIGINT, a BIGINT, b BIGINT")
     )
     compared, compared_path = save(contexts, "compared")
-    whole = settled.where("gram IS NULL").select("doc", "pos").union(local).select("doc", (F.col("pos") - REACH).alias("a"), (F.col("pos") + LENGTH).alias("b"))
+    whole = settled.where("gram IS NULL").select("doc", (F.col("pos") - REACH).alias("a"), (F.col("pos") + LENGTH).alias("b"))
     return whole.union(compared), [settled_path, compared_path]
 
 
