@@ -67,7 +67,10 @@ def none(samples: DataFrame) -> DataFrame:
     return samples.select(F.lit(1).alias("repeat"), F.lit(1).alias("fold"), "sample_id")
 
 
-def split(data: DataFrame, folds: DataFrame, max_folds: int = 1000) -> DataFrame:
-    """Every (repeat, fold) with its training and test rows: column ``is_test``. Rows are copied once per fold."""
+def split(data: DataFrame, folds: DataFrame) -> DataFrame:
+    """Every (repeat, fold) with its training and test rows: column ``is_test``. Rows are copied once per fold.
+
+    No fold is left out; the join with the fold numbers is on ``repeat`` and its strategy is left to the planner.
+    """
     numbers = folds.where("fold > 0").select("repeat", F.col("fold").alias("cv_fold")).distinct()
-    return data.join(folds, "sample_id").join(F.broadcast(numbers.limit(max_folds)), "repeat").withColumn("is_test", F.col("fold") == F.col("cv_fold")).drop("fold").withColumnRenamed("cv_fold", "fold")
+    return data.join(folds, "sample_id").join(numbers, "repeat").withColumn("is_test", F.col("fold") == F.col("cv_fold")).drop("fold").withColumnRenamed("cv_fold", "fold")
