@@ -92,3 +92,11 @@ def test_engine_paths(spark):
     assert {x["metric"]: x["perf"] for x in regress(r, AnalysisSpec(model="ridge", metric=("r_squared",), repeat=1)).collect()}["r_squared"] > 0.8
     with pytest.raises(ValueError):
         AnalysisSpec(model="unknown")
+
+
+def test_split_keeps_every_fold(spark):
+    from lumenfold.operators import folds
+
+    samples = spark.range(1, 1203).select(F.col("id").alias("sample_id"))
+    got = folds.split(samples, folds.leaveout(samples)).where("is_test")
+    assert got.count() == got.select("fold").distinct().count() == 1202
