@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+PAIRS_PER_TASK = 1_000_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -38,7 +41,8 @@ def kernel_matrix(df: DataFrame, kernel: str, search: tuple[str, ...] = (), regu
     """Pair table (i, j, search..., k), i <= j: a self-join on the search dimensions.
 
     The result has a row per pair, as kernel methods need; one side is broadcast only if its measured size allows,
-    otherwise the join is by blocks of samples.
+    otherwise the join is by blocks of samples. Without search dimensions the other side is dealt by pairs, not by bytes:
+    a small table makes many pairs.
     """
     side = lambda n: df.select(F.col("sample_id").alias(n), *search, F.col("features").alias(f"x_{n}"))
     size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p")).first()
@@ -46,7 +50,7 @@ def kernel_matrix(df: DataFrame, kernel: str, search: tuple[str, ...] = (), regu
     cells = (size["n"] or 0) * (size["p"] or 0) * 8
     if cells <= broadcast_bytes:
         b = F.broadcast(b)
-        pairs = a.join(b, list(search)) if search else a.crossJoin(b)
+        pairs = a.join(b, list(search)) if search else a.repartition(int(size["n"] or 0) ** 2 // PAIRS_PER_TASK + 1, "i").crossJoin(b)
     else:
         blocks = int(np.ceil(np.sqrt(cells / broadcast_bytes))) * 4
         grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
