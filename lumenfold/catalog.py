@@ -418,7 +418,7 @@ def cdf_sql(z: str) -> str:
 @query("""WITH d AS (SELECT o_orderpriority AS k, count(*) FILTER (o_custkey % 2 = 0)::BIGINT AS hits, count(*) AS n FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1)
 SELECT k, round((SELECT coalesce(sum(exp(lgamma(d.n + 1) - lgamma(i + 1) - lgamma(d.n - i + 1) + d.n * ln(0.5::DOUBLE))), 0) FROM generate_series(d.hits + 1, d.n) s(i)), 6) + 0.0::DOUBLE AS p FROM d""")
 def stat_binomial(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")  # the test's own sample sizes: a few hundred trials a group
+    o = table(spark, sf_dir, "orders")
     d = o.groupBy(F.col("o_orderpriority").alias("k")).agg(F.avg((F.col("o_custkey") % 2 == 0).cast("double")).alias("perf"), F.count(F.lit(1)).alias("n"))
     return stats.binomial(d, ["k"]).select("k", r6("p").alias("p"))
 

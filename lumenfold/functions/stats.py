@@ -20,19 +20,67 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def _stirling_rest(n: float) -> float:
+    """log(n!) less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    q = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * q)) / q) / q) / n
+
+
+def _deviance(x: float, m: float) -> float:
+    """x log(x / m) + m - x, without cancellation where x is near m."""
+    if abs(x - m) >= 0.1 * (x + m):
+        return x * math.log(x / m) + m - x
+    v = (x - m) / (x + m)
+    total, term, k = (x - m) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def _mass(k: int, n: int, p: float) -> float:
+    """P(K = k) in saddle-point form: exact to rounding for any n."""
+    if k in (0, n):
+        return math.exp(n * (math.log1p(-p) if k == 0 else math.log(p)))
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p))
+    return math.exp(rest) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (Lentz), for x under about a / (a + b)."""
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or 1e-300)
+    out, m = d, 0
+    while True:
+        m += 1
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + t * d) or 1e-300), (1 + t / c) or 1e-300
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            return out
+
+
+def binomial_tail(hits: int, n: int, chance: float) -> float:
+    """P(K > hits) of n trials: the incomplete beta function, in about sqrt(n) steps."""
+    if hits >= n:
+        return 0.0
+    if hits < 0:
+        return 1.0
+    a, b = hits + 1, n - hits
+    if chance < (a + 1) / (a + b + 2):
+        return _mass(hits, n, chance) * chance * b / a * _fraction(a, b, chance)
+    return 1 - _mass(hits, n, chance) * chance * _fraction(b, a, 1 - chance)
+
+
 def binomial(df: DataFrame, keys: Sequence[str], chance: float = 0.5, alpha: float = 0.05) -> DataFrame:
-    """P(K > floor(perf * n)) from columns perf and n; mask where it is under alpha."""
-    rows = df.select(*keys, "n", F.floor(F.col("perf") * F.col("n") + 1e-9).alias("hits"))
-    sizes = rows.select("n").distinct()
-    terms = sizes.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("k"))
-    steps = terms.withColumn("l", F.when(F.col("k") > 0, F.log(F.col("k").cast("double"))).otherwise(0.0))
-    up = Window.partitionBy("n").orderBy("k")
-    fact = steps.withColumn("lf", F.sum("l").over(up))
-    total = F.max("lf").over(Window.partitionBy("n"))
-    mirror = fact.select("n", (F.col("n") - F.col("k")).alias("k"), F.col("lf").alias("lr"))
-    pmf = fact.withColumn("lt", total).join(mirror, ["n", "k"]).withColumn("p", F.exp(F.col("lt") - F.col("lf") - F.col("lr") + F.col("k") * math.log(chance) + (F.col("n") - F.col("k")) * math.log(1 - chance)))
-    tail = pmf.select("n", F.col("k").alias("hits"), F.coalesce(F.sum("p").over(Window.partitionBy("n").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("p"))
-    return rows.join(tail, ["n", "hits"]).select(*keys, "p", (F.col("p") < alpha).alias("mask"))
+    """P(K > floor(perf * n)) from columns perf and n; mask where it is under alpha. One number per row, for any n."""
+    tail = F.udf(lambda hits, n: binomial_tail(hits, n, chance), "double")
+    rows = df.select(*keys, "n", F.floor(F.col("perf") * F.col("n") + 1e-9).alias("hits")).where("hits IS NOT NULL AND n IS NOT NULL")
+    return rows.withColumn("p", tail("hits", "n")).select(*keys, "p", (F.col("p") < alpha).alias("mask"))
 
 
 def ranks(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:

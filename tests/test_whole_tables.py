@@ -1,11 +1,15 @@
 """Queries over whole tables, against numpy on small fixtures."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from lumenfold import catalog
+from lumenfold.functions import stats
 
 N = 150
 
@@ -41,3 +45,25 @@ def test_averaged_kernel_holds_all_groups(spark, vectors):
     got = {(r["gi"], r["gj"]): r["k"] for r in catalog.prep_average_kernel(spark, home).collect()}
     assert len(got) == len(means) ** 2
     assert all(abs(got[a, b] - means[a] @ means[b]) < 2e-6 for a in means for b in means)
+
+
+def exact_tail(hits, n):
+    return float(Fraction(sum(math.comb(n, k) for k in range(hits + 1, n + 1)), 2**n))
+
+
+def test_binomial_counts_all_orders(spark, tmp_path):
+    n = 3000
+    pq.write_table(pa.table({"o_orderkey": np.arange(n), "o_custkey": np.arange(n) * 7 // 5 + np.arange(n) % 3, "o_orderpriority": [str(i % 3) for i in range(n)]}), tmp_path / "orders.parquet")
+    rows = [(str(i % 3), (i * 7 // 5 + i % 3) % 2 == 0) for i in range(n)]
+    want = {k: exact_tail(sum(even for p, even in rows if p == k), 1000) for k in "012"}
+    got = {r["k"]: r["p"] for r in catalog.stat_binomial(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_binomial_tail():
+    for n, hits in ((1, 0), (5, -1), (5, 0), (5, 5), (11, 5), (40, 39), (101, 50), (1001, 480), (3000, 1570), (4000, 2040)):
+        assert math.isclose(stats.binomial_tail(hits, n, 0.5), exact_tail(max(hits, -1), n), rel_tol=1e-10)
+    for n in (11, 1001, 10**6 + 1, 10**9 + 1):  # by symmetry
+        assert math.isclose(stats.binomial_tail(n // 2, n, 0.5), 0.5, rel_tol=1e-9)
+    third = [math.comb(30, k) * (1 / 3) ** k * (2 / 3) ** (30 - k) for k in range(31)]
+    assert all(math.isclose(stats.binomial_tail(h, 30, 1 / 3), sum(third[h + 1 :]), rel_tol=1e-9) for h in range(30))
