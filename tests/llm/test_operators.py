@@ -177,6 +177,25 @@ def test_html(spark):
     assert got == {0: ("T & x a b c", 11), 1: ("first unique text", 17), 2: ("second unique text", 18), 3: ("", 0), 4: ("", 0), 5: ("open tag", 8)}
 
 
+def test_html_keeps_text_that_recurs(spark):
+    """Pages without article markup that share phrases, headings, whole articles and whole pages."""
+    foot = "all rights reserved by this very long boilerplate line of the host"
+    phrase = "at the end of the day it is what it is"
+    own = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(12)]
+    body = [f"{w} {phrase}" if i < 3 else w for i, w in enumerate(own)]
+    body[4] = body[3]  # an article and its copy, under titles of their own
+    page = "<body><h1>{}</h1><h2>Introduction</h2><div>{}</div><div>" + foot + "</div></body>"
+    rows = [(i, "http://p.example/1", page.format(f"Title {i}", b)) for i, b in enumerate(body)]
+    want = {i: f"Title {i} Introduction {b}" for i, b in enumerate(body)}
+    whole = "<p>" + " ".join(f"c{k}" for k in range(40)) + "</p>"
+    rows += [(100 + i, "http://c.example/", whole) for i in range(5)] + [(105 + i, "http://c.example/", f"<p>{own[i]}</p>") for i in range(2)]
+    want |= {100 + i: whole[3:-4] for i in range(5)} | {105 + i: own[i] for i in range(2)}
+    rows += [(200 + i, "http://two.example/", f"<p>{own[0]}</p><p>{own[i]}</p>") for i in (1, 2)] + [(201, "http://two.example/", f"<p>{own[0]}</p><p>{own[5]}</p>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").repartition(5)).collect()
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] < 200} == want
+    assert sorted(r["text"] for r in got if r["page_id"] >= 200) == sorted(f"{own[0]} {own[i]}" for i in (1, 2, 5))
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as p
 
