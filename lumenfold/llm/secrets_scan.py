@@ -18,6 +18,10 @@ parsed; only what has the structure of a credential is reported:
 * ``openssh``: the ``openssh-key-v1`` container, its length-prefixed fields read
   in full.
 
+Base64 may follow ``=``, ``-`` or a line break written as backslash-n; its lines
+may be broken by real or written line breaks and be indented. Where a key ends is
+read from its structure, so that text after it does not hide it.
+
 Spans are code points, end exclusive. Null texts count as empty; a text without
 a match has zero counts, an empty ``spans`` and the digest of the empty string.
 All patterns are linear in the text (long runs cannot be entered again from
@@ -31,7 +35,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +52,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 KINDS = (*BASE_KINDS, "jwt", "der", "openssh")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:MI|MH|MC|MD|ME|MF|MG|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)*+={0,2}")
+#: Line breaks within a block: real ones or written as backslash-n, with indentation.
+BREAK = r"(?:[\x20\t]*+(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+)"
+START = r"(?:(?<![A-Za-z0-9+/_])|(?<=\\n)|(?<=\\r)|(?<=\\t))(?:MI|MH|MC|MD|ME|MF|MG|b3BlbnNzaC1rZXkt)"
+LINE = r"(?:[A-Za-z0-9+/_]|-(?!----))"
+BASE64 = re.compile(f"{START}{LINE}++(?:{BREAK}{LINE}++)*+={{0,2}}")
+BASE64_START, BASE64_BREAK = re.compile(START), re.compile(BREAK)
 HEX_CODE = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 
 
@@ -130,15 +141,60 @@ def is_openssh(data: bytes) -> bool:
     return all(field() for _ in range(count)) and bool(field()) and at == len(data)
 
 
+def _key_size(flat: str, at: int) -> int:
+    """Bytes of the structure that starts at symbol ``at`` as its own lengths say, 0 if there is none."""
+
+    def number(start: int, n: int) -> int:
+        first = at + start // 3 * 4
+        data = (decode_base64(flat[first : first + 12]) or b"")[start % 3 :][:n]
+        return int.from_bytes(data, "big") if len(data) == n else -1
+
+    if flat[at] == "M":
+        n = number(1, 1)
+        if n < 128:
+            return max(n + 2, 0)
+        k = n & 0x7F
+        return 2 + k + size if 1 <= k <= 4 and (size := number(2, k)) >= 0 else 0
+    size = 15  # the magic, three fields, a count, as many public keys and the private part
+    for _ in range(3):
+        if (n := number(size, 4)) < 0:
+            return 0
+        size += 4 + n
+    if not 1 <= (count := number(size, 4)) <= 64:
+        return 0
+    size += 4
+    for _ in range(count + 1):
+        if (n := number(size, 4)) < 0:
+            return 0
+        size += 4 + n
+    return size
+
+
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64: from each possible start in a block of lines to the line where the structure ends."""
+    for m in BASE64.finditer(text):
+        breaks = [b.span() for b in BASE64_BREAK.finditer(text, m.start(), m.end())]
+        begins, ends = [m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]
+        lines = [text[b:e].rstrip("=") for b, e in zip(begins, ends)]
+        flat, upto, done = "".join(lines), [0, *accumulate(map(len, lines))], m.start()
+        for s in BASE64_START.finditer(text, m.start(), m.end()):
+            line = bisect_right(begins, s.start()) - 1
+            at = upto[line] + s.start() - begins[line]
+            end = at - (-_key_size(flat, at) * 4 // 3)
+            last = bisect_left(upto, end) - 1
+            if s.start() < done or not at < end <= upto[-1] or upto[last + 1] != end or ends[last] - s.start() < 40:
+                continue
+            if (data := decode_base64(flat[at:end])) and (kind := "openssh" if is_openssh(data) else "der" if is_der_key(data) else ""):
+                done = ends[last]
+                yield s.start(), done, kind
+
+
 def confirmed(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
-    for m in BASE64.finditer(text) if "M" in text or "b3Blbn" in text else ():
-        for run in dict.fromkeys((m[0], re.split(r"\r?\n", m[0])[0])):  # all lines of a block, or its first line before prose
-            if len(run) >= 40 and (data := decode_base64(run)) and (kind := "openssh" if is_openssh(data) else "der" if is_der_key(data) else ""):
-                out.append((m.start(), m.start() + len(run), kind))
-                break
+    if "M" in text or "b3Blbn" in text:
+        out += blocks(text)
     if "30" in text:
         for m in HEX_CODE.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):

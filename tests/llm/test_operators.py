@@ -159,6 +159,37 @@ def test_secrets():
     assert secrets_scan.is_der_key(der) and not secrets_scan.is_der_key(der[:-1])
 
 
+def test_keys_in_env_files_one_line_pem_and_json():
+    import base64
+
+    def der(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])) + body
+
+    rng = np.random.default_rng(5)
+    for size in (64, 300, 301, 302):
+        key = der(0x30, der(2, b"\0"), der(0x30, der(6, bytes([0x2B, 0x65, 0x70]))), der(4, bytes(rng.integers(0, 256, size, np.uint8))))
+        run = base64.b64encode(key).decode()
+        assert secrets_scan.is_der_key(key) and run.startswith("M")
+        lines = [run[i : i + 64] for i in range(0, len(run), 64)]
+        pem = "-----BEGIN PRIVATE KEY-----{0}" + "{0}".join(lines) + "{0}-----END PRIVATE KEY-----"
+        texts = [f"PRIVATE_KEY={run}", f"a {run} b", f"-----BEGIN PRIVATE KEY-----{run}-----END PRIVATE KEY-----", pem.format("\n"), pem.format("\r\n")]
+        texts += ['{"key": "' + pem.format("\\n") + '"}', pem.format("\\r\\n"), pem.format("\\\\n"), pem.format("\n    "), pem.format(" \n\t"), pem.format("\\n  ")]
+        texts += ["\n".join([*lines, "words after", "it"]), "key-MIX\n" + "\n".join(lines), "MIIx\n" + run]
+        for t in texts:
+            spans = [(a, b) for a, b, k in secrets_scan.scan(t)[1] if k == "der"]
+            assert len(spans) == 1, t
+            got = re.sub(r"\\+[rn]|\s", "", t[slice(*spans[0])])
+            assert got.rstrip("=") == run.rstrip("="), t
+        assert [k for _, _, k in secrets_scan.scan(f"A={run[:-8]}")[1] if k == "der"] == []
+    ssh = b"openssh-key-v1\0" + b"".join(len(f).to_bytes(4, "big") + f for f in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(f).to_bytes(4, "big") + f for f in (b"p" * 51, b"s" * 140))
+    lines = re.findall(".{1,70}", base64.b64encode(ssh).decode())
+    for gap in ("\n", "\\n", "\n  "):
+        t = f"-----BEGIN OPENSSH PRIVATE KEY-----{gap}" + gap.join(lines) + f"{gap}-----END OPENSSH PRIVATE KEY-----"
+        assert [t[a:b] for a, b, k in secrets_scan.scan(t)[1] if k == "openssh"] == [gap.join(lines)]
+
+
 def test_pii():
     text = "mail a.b@c.example.org now, 10.0.0.255 999.1.1.1, 4111 1111 1111 1111, +1 (499) 555-6503 or 555-123-4567"
     base = pii_crf.base_spans(text)
