@@ -9,8 +9,9 @@ characters) with O or begin/inside of the four kinds. Its features are word
 shapes in a window of two tokens, spacing and a few cue words; it is trained by
 gradient ascent on the likelihood of a small labelled table (``TABLE`` below,
 filled by rule) and decoded by Viterbi over padded numpy batches. Tokens further
-than ``REACH`` tokens from any digit run or ``@`` are O by definition, so only
-the stretches around those are decoded, whole texts being searched for them. A
+than ``REACH`` tokens from every digit run and ``@``, and in no unspaced run with
+one, are O by definition, so only the stretches around those are decoded, whole
+texts being searched for them. A
 decoded span is added if it overlaps no base span and has the kind's form: a
 phone 8 to 15 digits in at least two groups, a card 13 to 19 digits passing
 Luhn, an ip four parts up to 255, an email an ``@`` between letters.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -287,28 +289,31 @@ TRIGGER = re.compile(r"[0-9]+|@")
 
 
 def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token runs around digit runs and ``@``: REACH tokens to either side, joined where they touch."""
-    last_end, run = 0, []
+    """Token runs around digit runs and ``@``: REACH tokens to either side of each and the whole unspaced run that holds it, joined where they touch."""
+    if not TRIGGER.search(text):
+        return
+    toks = tokens(text)
+    starts = [a for a, _ in toks]
+    left = right = 0  # the open stretch is toks[left:right]
+    run = 0  # the end of the unspaced run looked at last
     for m in TRIGGER.finditer(text):
-        if m.start() < last_end:
-            continue
-        left = max(last_end, m.start() - 60)
-        if left > last_end and text[left - 1].isalnum():
-            while left < m.start() and text[left].isalnum():
-                left += 1
-        before = tokens(text, left, m.start())
-        if run and left > last_end or len(before) > REACH:
-            if run:
-                yield run
-                run = []
-            before = before[-REACH:]
-        after = tokens(text, m.start(), min(len(text), m.end() + 60))[: REACH + 1]
-        if after and after[-1][1] == m.end() + 60 and len(after) > 1:
-            after.pop()
-        run += before + after
-        last_end = run[-1][1]
-    if run:
-        yield run
+        i = bisect_right(starts, m.start()) - 1
+        lo = i
+        if i >= run:
+            while lo > run and toks[lo - 1][1] == starts[lo]:
+                lo -= 1
+            run = i + 1
+            while run < len(toks) and toks[run - 1][1] == starts[run]:
+                run += 1
+        lo = max(min(lo, i - REACH), 0)
+        if lo > right:
+            if right > left:
+                yield toks[left:right]
+            left = lo
+        elif right == 0:
+            left = 0
+        right = max(right, run, min(i + REACH + 1, len(toks)))
+    yield toks[left:right]
 
 
 def _valid(kind: str, value: str) -> bool:

@@ -199,6 +199,30 @@ def test_pii():
     assert pii_crf.emails("a@@b.c d@e.f@g.h @x.y") == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "a@@b.c d@e.f@g.h @x.y")]
 
 
+def test_pii_stretches_hold_what_every_trigger_reaches():
+    rng = np.random.default_rng(6)
+    parts = ["3", "@", "é", "word", ".", "-", " ", " ", "  ", "\n", "+", "x1", "_"]
+    texts = ["", "@", "no trigger here", "3 mails: josé@example.com", "".join(["a", "."] * 20) + "@" + "b." * 20 + "c d e f g h i"]
+    texts += ["".join(rng.choice(parts, n)) for n in rng.integers(1, 120, 300)]
+    for t in texts:
+        toks, want = pii_crf.tokens(t), set()
+        for i, (a, b) in enumerate(toks):
+            if re.search("[0-9@]", t[a:b]):
+                unspaced = next(m for m in re.finditer(r"\S+", t) if m.start() <= a < m.end())
+                want |= {u for k, u in enumerate(toks) if abs(k - i) <= pii_crf.REACH or unspaced.start() <= u[0] < unspaced.end()}
+        got = list(pii_crf.stretches(t))
+        flat = [u for s in got for u in s]
+        assert flat == sorted(want) and all(got)
+        assert all(toks.index(a[-1]) + 1 < toks.index(b[0]) for a, b in zip(got, got[1:]))
+
+
+def test_pii_addresses_after_digits_and_with_long_domains():
+    for address in ("josé@example.com", "josé@mail.example.co.uk", "josé@a.mail.example.org"):
+        for text in (f"3 mails: {address}", f"write to {address} please", f"in 2024 we wrote to {address}"):
+            added = pii_crf.added_spans([text], [pii_crf.base_spans(text)], pii_crf.trained())[0]
+            assert [text[a:b] for k, a, b in added if k == "email"] == [address], text
+
+
 def test_html(spark):
     foot = "all rights reserved by this very long boilerplate line"
     page = "<html><head><title>t</title></head><body><nav>Menu</nav><article><h1>T &amp; x</h1><p>a  b<br>c</p><div class='ad'>buy</div></article><footer>f</footer></body></html>"
