@@ -1,18 +1,21 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: MinHash containment search.
 
 An item is found in a document when at least ``threshold`` of the item's
 distinct five-word shingles occur in the document (words: runs of letters and
 digits, lower-cased; 0.8 by default). Long documents make Jaccard similarity
 useless for this, so the search is by containment:
 
-1. Items are put into partitions by their number of shingles (powers of two).
-2. Each item's MinHash sketch is its p smallest shingle hashes with
+1. Each item's MinHash sketch is its p smallest shingle hashes with
    p = q - ceil(threshold * q) + 1 of q shingles. A document that holds at least
    ceil(threshold * q) of them must hold one of those p (pigeonhole), so the
    search misses nothing.
-3. Document shingles are hashed once; only hashes under the largest sketch
-   value of some size partition can meet, the rest is filtered before the join.
-4. Candidates are verified by exact shingle containment on strings.
+2. Document shingles are hashed once; only hashes up to the largest sketch value
+   of all items can meet, the rest is filtered before the join.
+3. Candidates are verified by exact shingle containment on strings.
+
+Items are not partitioned by size: p follows from each item's own size, so the
+join on hashes finds the same pairs without partitions, and a bound for each of
+them would only repeat the search of the documents.
 
 The document side never shuffles its shingles while the sketches are below
 ``broadcast_rows`` (measured, not assumed); beyond it the join is by shuffle,
@@ -57,13 +60,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, word
     need = F.ceil(F.lit(threshold) * F.col("q") - F.lit(1e-9))
     sketch = (
         q.withColumn("need", need)
-        .withColumn("size_part", F.floor(F.log2("q")))
         .withColumn("sketch", F.slice("hs", F.lit(1), (F.col("q") - F.col("need") + 1).cast("int")))
-        .select("item_id", "q", "need", "size_part", "sketch")
+        .select("item_id", "q", "need", "sketch")
     )
     sketch, _ = save(sketch, "item-sketch")
-    bounds = sketch.groupBy("size_part").agg(F.max(F.element_at("sketch", -1)).alias("top")).agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("parts"))
-    top = bounds.first()["top"]  # one number
+    top = sketch.agg(F.max(F.element_at("sketch", -1)).alias("top")).first()["top"]  # one number
     sketch_rows = sketch.select("item_id", F.explode("sketch").alias("h"))
     small = item_sh.count() <= broadcast_rows
     held = F.broadcast if small else (lambda df: df)
