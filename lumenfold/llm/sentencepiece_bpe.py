@@ -13,8 +13,9 @@ than ``LONG`` characters get a heap of their own.
 ``encode`` and ``decode`` follow the ``sentencepiece`` library for models with
 the identity normalizer, a dummy prefix and untouched white space; ``Vocabulary``
 refuses others. In every Arrow batch the library encodes and decodes a share of
-the rows (``check_share``; those whose text hash falls into it) and a
-difference stops the job.
+the rows (``check_share``; those whose text hash falls into it, and the first
+text of a batch where none does) and a difference stops the job; the other rows
+are not compared.
 
 Null texts count as empty; an empty text has no ids. Ties and repeated rows need
 no rule: every row is encoded by itself. Extra columns are ignored.
@@ -238,6 +239,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def checked_rows(texts: list[str], share: int) -> list[bool]:
+    """Rows of a batch that are held against the library: one text in ``share`` by its hash, and the first text where that has none."""
+    out = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % share == 0 for t in texts]
+    if texts and not any(c and t for c, t in zip(out, texts)):
+        out[next((i for i, t in enumerate(texts) if t), 0)] = True
+    return out
+
+
 def encode_column(docs: DataFrame, model: str | None = None, check_share: int = 64, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text (and the ids as an array with ``with_ids``)."""
     model = model or default_model()
@@ -248,9 +257,8 @@ def encode_column(docs: DataFrame, model: str | None = None, check_share: int =
             for batch in slices(whole, 1_000_000):
                 n, a, b, all_ids = [], [], [], []
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                for text, (ids, count, back) in zip(texts, voc.encode_decode(texts)):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    if zlib.crc32(raw) % check_share == 0:
+                for text, check, (ids, count, back) in zip(texts, checked_rows(texts, check_share), voc.encode_decode(texts)):
+                    if check:
                         own = voc.library.encode(text)
                         if ids != ",".join(map(str, own)) or back != voc.library.decode(own):
                             raise ValueError(f"differs from the sentencepiece library on a text of {len(text)} characters")

@@ -117,6 +117,14 @@ def test_tokenizer_equals_the_library(spark, docs):
     assert sentencepiece_bpe.encode_column(docs).count() == len(DOCS)
 
 
+def test_every_batch_has_a_row_checked_by_the_library():
+    for texts in (["one two"], ["", "a", "b"], ["x"] * 5, ["", ""], [f"text {i}" for i in range(100)]):
+        for share in (1, 64, 2**40):
+            got = sentencepiece_bpe.checked_rows(texts, share)
+            assert len(got) == len(texts) and any(c and (t or not any(texts)) for c, t in zip(got, texts))
+    assert sentencepiece_bpe.checked_rows([], 64) == [] and all(sentencepiece_bpe.checked_rows(["a", "b"], 1))
+
+
 def test_language(spark):
     rng = np.random.default_rng(3)
     parts = {"en": "the of and ing tion er".split(), "de": "der die ung sch ein keit".split()}
