@@ -55,7 +55,7 @@ STAGES = [
     ("decontaminate", without_benchmark),
     ("sentencepiece", tokens),
 ]
-#: A trained language model and a tokenizer are not SQL; tests/llm holds brute-force versions.
+#: A trained language model and a tokenizer are not SQL; tests/llm/test_pipeline.py holds each stage and ``run`` against brute force.
 ORACLE_SQL = None
 
 
