@@ -326,7 +326,7 @@ _impute("prep_impute_fill", "fill", "x", 0.0)
 # ---- kernels and closed forms ---------------------------------------------------------------------------------------
 
 K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings WHERE vec_id < 60)
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings)
 SELECT a.vec_id AS i, b.vec_id AS j, round({k}, 6) + 0.0::DOUBLE AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id"""
 
 
@@ -343,7 +343,7 @@ _kernel("polynomial", "pow(list_dot_product(a.e, b.e) * 0.5 + 1, 2)", gamma=0.5)
 _kernel("rbf", "exp(-0.1::DOUBLE * pow(list_distance(a.e, b.e), 2))", gamma=0.1)
 
 
-@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings WHERE vec_id < 60),
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings),
 g AS (SELECT vec_id, label * 1000 + (row_number() OVER (PARTITION BY label ORDER BY (vec_id::BIGINT * 1103515245 + 12345) % 2147483648, vec_id) - 1) // 3 AS grp, (row_number() OVER (PARTITION BY label ORDER BY (vec_id::BIGINT * 1103515245 + 12345) % 2147483648, vec_id) - 1) // 3 AS q, count(*) OVER (PARTITION BY label) // 3 AS m FROM v),
 p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e, b.e) AS k FROM v a, v b)
 SELECT x.grp AS gi, y.grp AS gj, round(avg(k), 6) + 0.0::DOUBLE AS k FROM p JOIN g x ON i = x.vec_id JOIN g y ON j = y.vec_id WHERE x.q < x.m AND y.q < y.m GROUP BY 1, 2""")
@@ -415,7 +415,7 @@ def cdf_sql(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN 1 - {upper} ELSE {upper} END)"
 
 
-@query("""WITH d AS (SELECT o_orderpriority AS k, count(*) FILTER (o_custkey % 2 = 0)::BIGINT AS hits, count(*) AS n FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1)
+@query("""WITH d AS (SELECT o_orderpriority AS k, count(*) FILTER (o_custkey % 2 = 0)::BIGINT AS hits, count(*) AS n FROM orders GROUP BY 1)
 SELECT k, round((SELECT coalesce(sum(exp(lgamma(d.n + 1) - lgamma(i + 1) - lgamma(d.n - i + 1) + d.n * ln(0.5::DOUBLE))), 0) FROM generate_series(d.hits + 1, d.n) s(i)), 6) + 0.0::DOUBLE AS p FROM d""")
 def stat_binomial(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
