@@ -30,13 +30,15 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one is made only where the session names none."""
+    """The folder all executors share (``spark.checkpoint.dir``); one is made only for a session of one machine that names none."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="lumenfold-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="lumenfold-")  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -71,6 +73,28 @@ def _drop_all() -> None:
             return
 
 
+def with_row_ids(docs: DataFrame, col: str) -> DataFrame:
+    """``docs`` plus ``col``: ``doc_id``, or a number above all ids where that does not tell different texts apart.
+
+    Rows without an id, and rows that share one with other texts, get numbers; rows equal in id and text have the same.
+    """
+    as_long = F.col("doc_id").cast("bigint")
+    ids = docs.select(as_long.alias("doc_id"))
+    repeated, _ = save(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return docs.withColumn(col, as_long)
+    key = F.sha2(F.concat(F.lit("t"), F.col("text")), 256)  # null for a null text
+    rows = docs.select(as_long.alias("doc_id"), F.coalesce(key, F.lit("")).alias("key"))
+    rows, _ = save(rows.join(repeated, rows["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").distinct(), "repeated-rows")
+    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id")
+    numbered = rows.join(several, rows["doc_id"].eqNullSafe(several["doc_id"]), "left_semi").withColumn("number", F.monotonically_increasing_id())
+    numbered, _ = save(numbered, "row-ids")
+    above = (ids.agg(F.max("doc_id").alias("top")).first()["top"] or 0) + 1
+    named = numbered.select(F.col("doc_id").alias("_lumenfold_id"), F.col("key").alias("_lumenfold_key"), (F.col("number") + above).alias("_lumenfold_number"))
+    got = docs.join(named, as_long.eqNullSafe(F.col("_lumenfold_id")) & (F.coalesce(key, F.lit("")) == F.col("_lumenfold_key")), "left")
+    return got.withColumn(col, F.coalesce("_lumenfold_number", as_long)).drop("_lumenfold_id", "_lumenfold_key", "_lumenfold_number")
+
+
 def word_hash(words: Iterable[bytes], cache: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words, looked up in ``cache`` (a ``HashCache``)."""
     return np.fromiter(map(cache.__getitem__, words), np.uint64)
@@ -113,6 +137,13 @@ def slices(batch: pa.RecordBatch, chars: int = 4_000_000, col: str = "text") ->
         yield batch.slice(start)
 
 
+def texts_of(arrays: Iterator[pa.Array], chars: int = 4_000_000) -> Iterator[tuple[pa.Array, Iterator[list[str | None]]]]:
+    """Each Arrow array with its texts as lists of about ``chars`` characters (one row at least), so that few are Python objects at once."""
+    for array in arrays:
+        batch = pa.RecordBatch.from_arrays([array], names=["text"])
+        yield array, (part.column("text").to_pylist() for part in slices(batch, chars))
+
+
 def in_crc_fold(doc_id: Column, parts: int, rest: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``, equals ``rest``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts == rest
