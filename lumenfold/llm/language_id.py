@@ -12,7 +12,13 @@ and averages rows of the product, so its cost follows the characters.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected.
 Without any labelled row every text is ``und``. Ties between languages go to the
-first in sorted order. Extra columns are ignored.
+first in sorted order. All languages among the labels are learned, however many;
+the model grows by ``DIM`` numbers for each beyond ``DIM``. Rows are independent,
+repeated ones are treated alike; a null ``doc_id`` is trained on and predicted
+like others; an empty table gives an empty result. Extra columns stay as they
+are, but columns named ``lang_pred``, ``lang_score`` and ``lang_rejected`` are
+replaced. Whole texts are read, whatever their length; of an Arrow batch about
+four million characters are Python objects at once.
 """
 
 from __future__ import annotations
@@ -25,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, texts_of
 
-BUCKETS, DIM, MAX_LANGS = 1 << 14, 16, 200
+BUCKETS, DIM = 1 << 14, 16
 _FOLD: list[np.ndarray] = []
 
 
@@ -35,13 +41,8 @@ def _fold_table() -> np.ndarray:
     """Code point -> lower-case letter or 0 (a boundary), built once per process."""
     if not _FOLD:
         table = np.zeros(0x110000, np.uint32)
-        for start, end in ((0, 0x3400), (0xA000, 0xD7FF), (0xF900, 0x20000)):
-            for c in range(start, end):
-                if (x := chr(c)).isalpha():
-                    low = x.lower()
-                    table[c] = ord(low) if len(low) == 1 else c
-        for start, end in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x323B0)):  # ideographs and syllables: letters without case
-            table[start:end] = np.where(table[start:end] > 0, table[start:end], np.arange(start, end, dtype=np.uint32))
+        letters = [c for c in range(0x110000) if chr(c).isalpha()]
+        table[letters] = [ord(low) if len(low := chr(c).lower()) == 1 else c for c in letters]
         _FOLD.append(table)
     return _FOLD[0]
 
@@ -69,21 +70,24 @@ def subwords(text: str) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
+    """``table`` times ``head`` gives logits; up to DIM languages the product is kept in ``table`` and ``head`` is None."""
+
     langs: list[str]
-    table: np.ndarray  # BUCKETS x languages: embeddings times softmax weights
+    table: np.ndarray
     bias: np.ndarray
+    head: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def logits(self, buckets: np.ndarray) -> np.ndarray:
-        return self.table[buckets].mean(axis=0, dtype=np.float64) + self.bias
+    def logits(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.head is None else mean @ self.head) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, confidence, rejected)."""
         b = subwords(text) if text else ()
         if not len(b) or not self.langs:
             return "und", 0.0, True
-        p = softmax(self.logits(b)[None, :] * self.temperature)[0]
+        p = softmax(self.logits(self.table[b].mean(axis=0, dtype=np.float64))[None, :] * self.temperature)[0]
         k = int(p.argmax())
         return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
 
@@ -125,9 +129,10 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: lis
             used = np.flatnonzero(x.any(axis=0))
             emb[used] -= lr * 50 * (x[:, used].T @ back)
             steps += 1
-    model = LanguageModel(langs, (emb @ w).astype(np.float32), bias.astype(np.float64))
+    few = len(langs) <= DIM
+    model = LanguageModel(langs, (emb @ w).astype(np.float32) if few else emb, bias.astype(np.float64), None if few else w)
     check = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    z = np.array([(model.table[counts[i][0]] * counts[i][1][:, None]).sum(axis=0) + model.bias for i in check])
+    z = np.array([model.logits((model.table[counts[i][0]] * counts[i][1].astype(np.float32)[:, None]).sum(axis=0)) for i in check])
     grid = 2.0 ** np.arange(-3, 4, 0.25)
     loss = [-np.log(np.maximum(softmax(z * t)[np.arange(len(check)), y[check]], 1e-9)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
@@ -137,56 +142,69 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: lis
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct buckets (uint16) and their shares of the largest (float16) of each text, as bytes."""
     for whole in batches:
         for batch in slices(whole):
             b, w, keep = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if len(x := subwords(text or "")):
                     n = np.bincount(x, minlength=1)
-                    b.append(np.flatnonzero(n).astype(np.int32))
-                    w.append((n[b[-1]] / len(x)).astype(np.float32))
+                    at = np.flatnonzero(n)
+                    b.append(at.astype(np.uint16).tobytes())
+                    w.append((n[at] / n.max()).astype(np.float16).tobytes())
                     keep.append(i)
+            keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(keep, pa.int64())), batch.column("lang").take(pa.array(keep, pa.int64())), pa.array(b, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32()))],
+                [batch.column("doc_id").take(keep), batch.column("lang").take(keep), pa.array(b, pa.binary()), pa.array(w, pa.binary())],
                 names=["doc_id", "lang", "b", "w"],
             )
 
 
 def fit(docs: DataFrame, train_rows: Column, sample: int = 4000, seed: int = 7) -> LanguageModel:
     """Fit on about ``sample`` rows at most of those ``train_rows`` selects (columns doc_id, text, lang)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").where(train_rows & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = sample / len(counts)
-    chosen = F.lit(False)
+    # a row for each language: its size goes with the number of languages, not with the corpus
+    shares = spark.createDataFrame([(k, min(1.0, sample / len(counts) / n)) for k, n in counts.items()], "lang STRING, share DOUBLE")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (unit < min(1.0, share / n)))
-    got = rows.where(chosen).mapInArrow(_features, "doc_id BIGINT, lang STRING, b ARRAY<INT>, w ARRAY<FLOAT>").toArrow().combine_chunks()
-    if not got.num_rows:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    # numpy views of the Arrow lists: no Python object for each feature on the driver
+    chosen = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("doc_id", "lang", "text")
+    got = chosen.mapInArrow(_features, "doc_id BIGINT, lang STRING, b BINARY, w BINARY").toArrow()
     ids, names = got.column("doc_id").to_pylist(), got.column("lang").to_pylist()
-    b, w = (pa.concat_arrays(got.column(c).chunks) for c in ("b", "w"))
-    ends, flat_b, flat_w = b.offsets.to_numpy(), b.values.to_numpy(), w.values.to_numpy()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], names[i]))
+    if not ids:
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    # one array for all rows and views of it: no Python object for each feature on the driver, and nothing left of them after
+    order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], names[i])))
     langs = sorted(set(names))
-    counts_ = [(flat_b[ends[i] : ends[i + 1]], flat_w[ends[i] : ends[i + 1]]) for i in order]
-    return train(counts_, np.array([langs.index(names[i]) for i in order]), langs, seed=seed)
+    b, w = (_flat(got.column(c), kind) for c, kind in (("b", np.uint16), ("w", np.float16)))
+    ends = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 2 for x in got.column("b")])])
+    del got
+    w = w.astype(np.float32)
+    w /= np.repeat(np.add.reduceat(w, ends[:-1]), np.diff(ends))
+    model = train([(b[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]) for i in order], np.array([langs.index(names[i]) for i in order]), langs, seed=seed)
+    del b, w
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The bytes of all rows of a binary column as one array."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` (any columns) plus lang_pred, lang_score, lang_rejected for every whole text."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    out = "struct<p string, s double, r boolean>"
-
-    @F.pandas_udf(out)
-    def run(texts):
-        import pandas as pd
+    kind = pa.struct([("p", pa.string()), ("s", pa.float64()), ("r", pa.bool_())])
 
-        return pd.DataFrame([bc.value.predict(t) for t in texts], columns=["p", "s", "r"])
+    @F.arrow_udf("struct<p string, s double, r boolean>")
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for _, parts in texts_of(arrays):
+            yield pa.array([dict(zip("psr", bc.value.predict(t))) for texts in parts for t in texts], kind)
 
-    return docs.withColumn("_lid", run(F.col("text"))).withColumns(
-        {"lang_pred": F.col("_lid.p"), "lang_score": F.col("_lid.s"), "lang_rejected": F.col("_lid.r")}
-    ).drop("_lid")
+    out = {"lang_pred": "p", "lang_score": "s", "lang_rejected": "r"}
+    own = "_lumenfold_language"
+    got = docs.select(*[c for c in docs.columns if c not in out], run(F.col("text")).alias(own))
+    return got.withColumns({c: F.col(f"{own}.{k}") for c, k in out.items()}).drop(own)
