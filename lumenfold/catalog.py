@@ -517,6 +517,15 @@ def result_combine_average(spark, sf_dir):
     return combine([r.drop("user_id")], "average", ["k"]).select("k", r6("perf").alias("perf"), r6("perf_std").alias("perf_std"), "n_results")
 
 
+@query("""SELECT (user_id % 2 + 1)::INT AS "result", event_type AS k, round(avg(value), 6) + 0.0::DOUBLE AS perf FROM events GROUP BY 1, 2""")
+def result_combine_merge(spark, sf_dir):
+    from .plans.results import combine
+
+    e = table(spark, sf_dir, "events")
+    parts = [e.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("k")).agg(F.avg("value").alias("perf")) for k in (0, 1)]
+    return combine(parts, "merge", ["k"]).select("result", "k", r6("perf").alias("perf"))
+
+
 @query("SELECT o_orderkey AS sample_id, (dense_rank() OVER (ORDER BY o_orderstatus))::INT AS clabel FROM orders")
 def relabel_classes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("clabel"))
@@ -579,6 +588,126 @@ def lda_transfer(spark, sf_dir):
     return transfer(t.where("fold <= 3"), t.where("fold > 3"), _spec(model="lda"))
 
 
+# the engine itself where a closed form exists: naive Bayes, and models of one feature
+
+ENGINE_SQL = f"""
+WITH {T_SQL},
+folds AS (SELECT DISTINCT fold FROM tens),
+d AS (SELECT id, c, CASE WHEN c <= 5 THEN 1 ELSE 2 END AS y, fold, t, x FROM tens WHERE f = 0)"""
+
+
+def _position_perf(got: DataFrame, *keys: str) -> DataFrame:
+    return got.select(*[F.col(k).cast("bigint").alias(k) for k in keys], r6("perf").alias("perf"), r6("perf_std").alias("perf_std"))
+
+
+def _first_feature(t: TensorFrame) -> TensorFrame:
+    return TensorFrame(t.df.withColumn("features", F.slice("features", 1, 1)), t.search)
+
+
+@query(ORACLES["nb_across_time"])
+def engine_naive_bayes(spark, sf_dir):
+    from .plans.analysis import classify_across_time
+
+    return _position_perf(classify_across_time(embeddings_tensor(spark, sf_dir), _spec(model="naive_bayes")), "t")
+
+
+@query(ORACLES["nb_across_time"])
+def engine_naive_bayes_append(spark, sf_dir):
+    from .plans.analysis import classify
+
+    return _position_perf(classify(embeddings_tensor(spark, sf_dir), _spec(model="naive_bayes", append=True)), "t")
+
+
+@query(ORACLES["nb_time_by_time"])
+def engine_naive_bayes_time_by_time(spark, sf_dir):
+    from .plans.analysis import classify_time_by_time
+
+    return _position_perf(classify_time_by_time(embeddings_tensor(spark, sf_dir), _spec(model="naive_bayes")), "t", "t_test")
+
+
+@query(ORACLES["nb_transfer"].replace(", count(*) AS n FROM pred", " FROM pred"))
+def engine_naive_bayes_transfer(spark, sf_dir):
+    from .plans.analysis import transfer
+
+    t = embeddings_tensor(spark, sf_dir)
+    return transfer(t.where("fold <= 3"), t.where("fold > 3"), _spec(model="naive_bayes")).select(F.col("t").cast("bigint").alias("t"), r6("perf").alias("perf"))
+
+
+@query(ENGINE_SQL + """, m AS (SELECT g.fold, t, avg(x) FILTER (y = 1) AS a, avg(x) FILTER (y = 2) AS b FROM d JOIN folds g ON d.fold <> g.fold GROUP BY 1, 2),
+pred AS (SELECT d.fold, d.t, y, CASE WHEN (a - b) * (x - (a + b) / 2) >= 0 THEN 1 ELSE 2 END AS p FROM d JOIN m ON d.fold = m.fold AND d.t = m.t),""" + PERF_SQL.format(k="t"))
+def engine_lda(spark, sf_dir):
+    from .plans.analysis import classify
+
+    return _position_perf(classify(_first_feature(_two_classes(embeddings_tensor(spark, sf_dir))), _spec(model="lda"), 2), "t")
+
+
+CENTROID_SQL = ENGINE_SQL + """, m AS (SELECT g.fold, t, {y} AS k, avg(x) AS mu FROM d JOIN folds g ON d.fold <> g.fold GROUP BY 1, 2, 3),
+pred AS (SELECT d.fold, d.t, d.id, d.{y} AS y, arg_min(k, (abs(x - mu), k)) AS p FROM d JOIN m ON d.fold = m.fold AND d.t = m.t GROUP BY 1, 2, 3, 4),""" + PERF_SQL.format(k="t")
+
+
+@query(CENTROID_SQL.format(y="c"))
+def engine_multiclass_lda(spark, sf_dir):
+    from .plans.analysis import classify
+
+    return _position_perf(classify(_first_feature(embeddings_tensor(spark, sf_dir)), _spec(model="multiclass_lda"), 10), "t")
+
+
+@query(CENTROID_SQL.format(y="y"))
+def engine_kernel_fda(spark, sf_dir):
+    from .plans.analysis import classify
+
+    return _position_perf(classify(_first_feature(_two_classes(embeddings_tensor(spark, sf_dir))), _spec(model="kernel_fda", hyperparameter={"kernel": "linear"}), 2), "t")
+
+
+RIDGE_SQL = f"""
+WITH {T_SQL},
+folds AS (SELECT DISTINCT fold FROM tens),
+d AS (SELECT id, fold, t, max(x) FILTER (f = 0) AS x, max(x) FILTER (f = 1) AS y FROM tens GROUP BY 1, 2, 3),
+m AS (SELECT g.fold, t, {{w}} AS w, {{b}} AS b FROM d JOIN folds g ON d.fold <> g.fold GROUP BY 1, 2),
+per AS (SELECT d.fold, d.t, avg(abs(y - w * x - b)) AS a, count(*) AS n FROM d JOIN m ON d.fold = m.fold AND d.t = m.t GROUP BY 1, 2)
+SELECT t, round(sum(a * n) / sum(n), 6) + 0.0::DOUBLE AS perf, round(stddev_samp(a), 6) + 0.0::DOUBLE AS perf_std FROM per GROUP BY t"""
+RIDGE_W = "(covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 2))"
+
+
+def _engine_regression(name: str, sql: str, **kw) -> None:
+    def f(spark, sf_dir):
+        from .plans.analysis import regress
+
+        t = embeddings_tensor(spark, sf_dir)
+        d = t.df.withColumn("y", F.element_at("features", 2)).withColumn("features", F.slice("features", 1, 1))
+        return _position_perf(regress(TensorFrame(d, t.search, "y"), _spec(metric=("mean_absolute_error",), **kw)), "t")
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_engine_regression("engine_ridge", RIDGE_SQL.format(w=RIDGE_W, b=f"(avg(y) - {RIDGE_W} * avg(x))"), model="ridge", hyperparameter={"lambda": 2.0})
+_engine_regression("engine_kernel_ridge", RIDGE_SQL.format(w="(sum(x * y) / (sum(x * x) + 2))", b="0.0::DOUBLE"), model="kernel_ridge", hyperparameter={"kernel": "linear", "lambda": 2.0})
+
+
+@query()
+def stat_permutation_analysis(spark, sf_dir):
+    from .plans.significance import permutation_test
+
+    t = _two_classes(embeddings_tensor(spark, sf_dir))
+    return permutation_test(t, _spec(model="lda"), 20, "bonferroni", classes=2)[0]
+
+
+@query()
+def stat_cluster_analysis(spark, sf_dir):
+    from .plans.significance import permutation_test
+
+    t = _two_classes(embeddings_tensor(spark, sf_dir))
+    return permutation_test(t, _spec(model="lda"), 20, "cluster", 0.5, classes=2)[0]
+
+
+@query()
+def svm_tuned_cv(spark, sf_dir):
+    from .plans.analysis import classify
+
+    return classify(_two_classes(embeddings_tensor(spark, sf_dir)), _spec(model="libsvm", hyperparameter={"svm_type": 0, "kernel": "linear", "cost": [0.1, 1.0]}), 2)
+
+
 def _regress(name: str, model: str) -> None:
     def f(spark, sf_dir):
         from .plans.analysis import regress

@@ -83,18 +83,23 @@ def binomial(df: DataFrame, keys: Sequence[str], chance: float = 0.5, alpha: flo
     return rows.withColumn("p", tail("hits", "n")).select(*keys, "p", (F.col("p") < alpha).alias("mask"))
 
 
+def _value_ranks(counts: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """``rank``: the midrank of each distinct value, from one row per value with its count ``n``."""
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("rank", below + (F.col("n") + 1) / F.lit(2.0))
+
+
 def ranks(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
-    """``rank``: ascending midranks within keys."""
-    order = Window.partitionBy(*keys).orderBy(x)
-    ties = Window.partitionBy(*keys, x)
-    return df.withColumn("rank", F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
+    """``rank``: ascending midranks within keys. Rows are counted by value first, so a window holds distinct values only."""
+    found = _value_ranks(df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")), keys, x).drop("n")
+    return df.join(found, [*keys, x])
 
 
 def rank_sum(df: DataFrame, keys: Sequence[str], x: str = "x", group: str = "grp", signed: bool = False) -> DataFrame:
     """Wilcoxon rank-sum: U (the smaller one), z without tie correction, two-tailed p. ``signed`` keeps the direction."""
-    r = ranks(df, keys, x)
     one = F.col(group) == 1
-    a = r.groupBy(*keys).agg(F.sum(F.when(one, F.col("rank")).otherwise(0.0)).alias("r1"), F.sum(one.cast("bigint")).alias("n1"), F.sum((~one).cast("bigint")).alias("n2"))
+    values = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"), F.sum(one.cast("bigint")).alias("c1"))
+    a = _value_ranks(values, keys, x).groupBy(*keys).agg(F.sum(F.col("c1") * F.col("rank")).alias("r1"), F.sum("c1").alias("n1"), F.sum(F.col("n") - F.col("c1")).alias("n2"))
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)
     both = (F.col("n1") * F.col("n2")).cast("double")
     u = F.least(u1, both - u1)
@@ -105,11 +110,23 @@ def rank_sum(df: DataFrame, keys: Sequence[str], x: str = "x", group: str = "grp
 def signed_rank(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
     """Wilcoxon signed-rank of differences: zeros dropped, midranks of absolute values, p from abs(z)."""
     d = df.where((F.col(x) != 0) & ~F.isnan(x)).withColumn("_a", F.abs(x))
-    a = ranks(d, keys, "_a").groupBy(*keys).agg(F.sum(F.signum(x) * F.col("rank")).alias("w"), F.count(F.lit(1)).alias("n"))
+    values = d.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.signum(x)).alias("s"))
+    a = _value_ranks(values, keys, "_a").groupBy(*keys).agg(F.sum(F.col("s") * F.col("rank")).alias("w"), F.sum("n").alias("n"))
     n = F.col("n").cast("double")
     return a.select(*keys, "w", "n", (F.col("w") / F.sqrt(n * (n + 1) * (2 * n + 1) / 6)).alias("z")).withColumn("p", 2 * (1 - normal_cdf(F.abs("z"))))
 
 
+def two_sample_t(df: DataFrame, keys: Sequence[str], x: str = "x", group: str = "grp") -> DataFrame:
+    """Two-sample t with pooled variance of group 1 against the rest: (keys, stat)."""
+    one = F.col(group) == 1
+    side = lambda c, n: [F.avg(F.when(c, F.col(x))).alias(f"m{n}"), F.var_samp(F.when(c, F.col(x))).alias(f"v{n}"), F.count(F.when(c, F.col(x))).alias(f"n{n}")]
+    a = df.groupBy(*keys).agg(*side(one, 1), *side(~one, 2))
+    free = F.col("n1") + F.col("n2") - 2
+    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / F.when(free > 0, free)
+    error = F.sqrt(pooled * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2")))
+    return a.select(*keys, F.when(error > 0, (F.col("m1") - F.col("m2")) / error).otherwise(F.lit(float("nan"))).alias("stat"))
+
+
 def permutation_p(real: DataFrame, permuted: DataFrame, keys: Sequence[str], n_permutations: int, tail: int = 1, alpha: float = 0.05, bonferroni: int = 1) -> DataFrame:
     """p = share of permutations strictly beyond the real statistic (no + 1); alpha divided by ``bonferroni`` tests."""
     beyond = F.col("perm_stat") > F.col("stat") if tail == 1 else F.col("perm_stat") < F.col("stat")

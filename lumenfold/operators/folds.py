@@ -7,6 +7,8 @@ a scheme is defined by a global order (leave-one-out numbers samples with range
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,15 @@ def _keyed(samples: DataFrame, repeats: int, random: bool) -> DataFrame:
     return df.withColumn("key", F.rand(7) if random else lcg(F.col("sample_id"), F.col("repeat")))
 
 
-def kfold(samples: DataFrame, k: int = 5, repeats: int = 1, stratify: bool = True, random: bool = False) -> DataFrame:
-    part = ["repeat", "clabel"] if stratify else ["repeat"]
+def kfold(samples: DataFrame, k: int = 5, repeats: int = 1, stratify: bool = True, random: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    part = ["repeat", *within, "clabel"] if stratify else ["repeat", *within]
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("key", "sample_id"))
     return _keyed(samples, repeats, random).select("repeat", (F.pmod(rank - 1, F.lit(k)) + 1).cast("int").alias("fold"), "sample_id")
 
 
-def holdout(samples: DataFrame, p: float = 0.1, repeats: int = 1, stratify: bool = True, random: bool = False) -> DataFrame:
+def holdout(samples: DataFrame, p: float = 0.1, repeats: int = 1, stratify: bool = True, random: bool = False, within: Sequence[str] = ()) -> DataFrame:
     """fold 1 tests round(p * n) samples (of each class); the others are trained on and have fold 0."""
-    part = ["repeat", "clabel"] if stratify else ["repeat"]
+    part = ["repeat", *within, "clabel"] if stratify else ["repeat", *within]
     w = Window.partitionBy(*part)
     rank, n = F.row_number().over(w.orderBy("key", "sample_id")), F.count(F.lit(1)).over(w)
     return _keyed(samples, repeats, random).select("repeat", F.when(rank <= F.round(n * F.lit(p)), 1).otherwise(0).cast("int").alias("fold"), "sample_id")

@@ -39,7 +39,18 @@ def _regularised(s: np.ndarray, reg: str, lam, centred: np.ndarray) -> np.ndarra
     return s + lam * np.eye(p)
 
 
+def _accuracy(predict):
+    return lambda m, a, b: (predict(m, a)["pred"] == b).sum()
+
+
+def _tuned(names, x, y, params, fit, predict):
+    """``params`` with the values of lists in ``names`` that classify most inner test samples rightly."""
+    grids = {k: list(params[k]) for k in names if isinstance(params.get(k), (list, tuple, np.ndarray))}
+    return params | tune(grids, x, y, lambda a, b, q: fit(a, b, params | q), _accuracy(predict), params.get("k", 5)) if grids else params
+
+
 def fit_lda(x, y, params):
+    params = _tuned(("lambda",), x, y, params, fit_lda, predict_linear)
     s, means, centred, _ = _scatter(x, y)
     s = _regularised(s, params["reg"], params["lambda"], centred)
     w = np.linalg.solve(s, means[0] - means[1])
@@ -138,7 +149,8 @@ def predict_logreg(model, x):
 
 
 def fit_svm(x, y, params):
-    """L1-loss dual with a constant added to the kernel for the bias; support vectors only are kept."""
+    """L1-loss dual with a constant added to the kernel for the bias; support vectors only are kept. Lists are tuned."""
+    params = _tuned(("c", "gamma", "coef0", "degree"), x, y, params | {"prob": False}, fit_svm, predict_svm) | {"prob": params.get("prob")}
     t = np.where(y == 1, 1.0, -1.0)
     k = _kernel(params, x, x) + 1.0 + 1e-9 * np.eye(len(x))
     a, _ = dual_descent(k * np.outer(t, t), params["c"])
@@ -249,11 +261,25 @@ MODELS: dict[str, tuple[Callable, Callable]] = {
 }
 REGRESSION = {"ridge", "kernel_ridge"}
 BINARY = {"lda", "logreg", "svm"}
-#: External solvers expressed by the models here: (model, parameters).
-ALIASES = {
-    ("libsvm", 0): ("svm", {}), ("libsvm", 3): ("kernel_ridge", {}),
-    ("liblinear", 0): ("logreg", {"reg": "l2"}), ("liblinear", 7): ("logreg", {"reg": "l2"}), **{("liblinear", k): ("svm", {"kernel": "linear"}) for k in (1, 2, 3)},
-}
+#: Types of the external solvers that a model here carries out: (model, parameters).
+SOLVERS: dict[str, dict[int, tuple[str, dict[str, Any]]]] = {
+    "libsvm": {0: ("svm", {}), 3: ("kernel_ridge", {})},
+    "liblinear": {0: ("logreg", {"reg": "l2"}), 7: ("logreg", {"reg": "l2"}), **{k: ("svm", {"kernel": "linear"}) for k in (1, 2, 3)}},
+}
+
+
+def solver_model(solver: str, options: dict[str, Any]) -> tuple[str, dict[str, Any]]:
+    """(model, parameters) for the options of an external solver: its type, cost, kernel and kernel parameters.
+
+    An L2 penalty is one over the cost. Support vector regression (type 3) is carried out as kernel ridge regression.
+    """
+    kind = options.get("svm_type" if solver == "libsvm" else "type", 0)
+    if kind not in SOLVERS[solver]:
+        raise ValueError(f"{solver} type {kind} has no model here")
+    model, params = SOLVERS[solver][kind]
+    cost = options.get("cost", 1)
+    params = params | {k: options[k] for k in ("kernel", "gamma", "coef0", "degree") if solver == "libsvm" and options.get(k) is not None}
+    return model, params | ({"c": cost} if model == "svm" else {"lambda": 1 / cost} | ({"correct_bias": False} if model == "logreg" else {}))
 
 
 def register_model(name: str, fit: Callable, predict: Callable, defaults: dict[str, Any] | None = None, regression: bool = False) -> None:

@@ -95,10 +95,15 @@ def tune(values: dict[str, Sequence], x: np.ndarray, y: np.ndarray, fit: Callabl
 
 
 def ledoit_wolf_lambda(x: np.ndarray) -> float:
-    """Shrinkage of rows centred by column towards the scaled identity."""
+    """Shrinkage of rows centred by column towards the scaled identity.
+
+    With more features than rows the same number comes from the Gram matrix: the squared entries of rows' outer products
+    sum to squared norms, and covariance and Gram matrix have the same trace and norm.
+    """
     n, p = x.shape
     x = x - x.mean(0)
-    s = x.T @ x / n
-    phi = ((x**2).T @ (x**2) / n - s**2).sum()
-    gamma = ((s - np.trace(s) / p * np.eye(p)) ** 2).sum()
+    gram = x @ x.T if p > n else x.T @ x
+    norms = (x * x).sum(1)
+    squares, trace = (gram**2).sum() / n**2, norms.sum() / n
+    phi, gamma = (norms**2).sum() / n - squares, squares - trace**2 / p
     return float(np.clip(phi / gamma / n, 0, 1)) if gamma > 0 else 1.0

@@ -34,10 +34,10 @@ def fit_pca(x: np.ndarray, n: int = 20, whiten: bool = True) -> np.ndarray:
     return v / np.sqrt(np.maximum(e, 1e-300)) if whiten else v
 
 
-def fit_csp(x: np.ndarray, y: np.ndarray, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def fit_csp(x: np.ndarray, y: np.ndarray, n: int = 1, lam: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(filters, patterns): n leading and n trailing filters of class 1 against class 2."""
-    c1, c2 = mean_covariance(x[y == 1], True), mean_covariance(x[y == 2], True)
-    _, w = generalised_eigh(c1, c1 + c2)
+    c1, c2 = (mean_covariance(x[y == c], True) + lam * np.eye(x.shape[1]) for c in (1, 2))
+    _, w = generalised_eigh(c1, c2)
     pick = [*range(n), *range(w.shape[1] - n, w.shape[1])]
     return w[:, pick], np.linalg.inv(w).T[:, pick]
 
@@ -46,9 +46,10 @@ def log_variance(z: np.ndarray) -> np.ndarray:
     return np.log(z.var(axis=2, ddof=1))
 
 
-def fit_ssd(signal: np.ndarray, noise: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ssd(signal: np.ndarray, noise: np.ndarray, n: int = 5, lam: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(filters, patterns) with the largest ratio of signal to noise."""
-    _, w = generalised_eigh(mean_covariance(signal), mean_covariance(noise))
+    a, b = (mean_covariance(x, True) + lam * np.eye(x.shape[1]) for x in (signal, noise))
+    _, w = generalised_eigh(a, b)
     return w[:, :n], np.linalg.inv(w).T[:, :n]
 
 
