@@ -22,6 +22,8 @@ Base64 may follow ``=``, ``-`` or a line break written as backslash-n; its lines
 may be broken by real or written line breaks and be indented. Where a key ends is
 read from its structure, so that text after it does not hide it.
 
+A header's or payload's JSON may have blanks and line breaks after its brace.
+
 Spans are code points, end exclusive. Null texts count as empty; a text without
 a match has zero counts, an empty ``spans`` and the digest of the empty string.
 All patterns are linear in the text (long runs cannot be entered again from
@@ -51,7 +53,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 KINDS = (*BASE_KINDS, "jwt", "der", "openssh")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
+#: An opening brace and a quote or blank ("ey"), or a line break or tab ("ew"), in base64url; a payload may be empty ("e3").
+JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]+\.e[yw3][A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
 #: Line breaks within a block: real ones or written as backslash-n, with indentation.
 BREAK = r"(?:[\x20\t]*+(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+)"
 START = r"(?:(?<![A-Za-z0-9+/_])|(?<=\\n)|(?<=\\r)|(?<=\\t))(?:MI|MH|MC|MD|ME|MF|MG|b3BlbnNzaC1rZXkt)"
@@ -191,7 +194,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
 
 def confirmed(text: str) -> list[tuple[int, int, str]]:
     out = []
-    if "eyJ" in text:
+    if ".e" in text:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_jwt(m[0])]
     if "M" in text or "b3Blbn" in text:
         out += blocks(text)

@@ -267,3 +267,14 @@ def test_pipeline_stages_keep_columns(spark):
         docs, _ = p.save(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert docs.columns == list(p.COLUMNS)
     assert 0 < docs.count() < 200
+
+
+def test_signed_tokens_with_blanks_in_their_json():
+    import base64
+
+    code = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256" }', b'{\n  "alg": "HS256"\n}', b'{\r\n\t"alg":"none"}'):
+        for body in (b"{}", b"{ }", b'{\n "sub": 1}'):
+            run = f"{code(head)}.{code(body)}.c2ln"
+            assert [(a, b) for a, b, k in secrets_scan.scan(f"x {run} y")[1] if k == "jwt"] == [(2, 2 + len(run))]
+    assert not [k for _, _, k in secrets_scan.scan(f"{code(b'[1]')}.{code(b'{}')}.x the.end e3.e3.e3")[1] if k == "jwt"]
