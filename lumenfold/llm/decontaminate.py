@@ -53,8 +53,8 @@ def shingles(text: Column, words: int = WORDS) -> Column:
 
 
 def size_part(n: Column) -> Column:
-    """Number of the partition of a size of 1 or more."""
-    return F.floor(F.log2(n.cast("double"))).cast("int")
+    """Number of the partition of a size of 1 or more; never null, as a check for null would evaluate the text's words again."""
+    return F.coalesce(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = WORDS, broadcast_bytes: int = 64_000_000) -> DataFrame:
@@ -78,13 +78,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, word
     # a row for each power of two of items' sizes
     parts = sketch.groupBy("item_part").agg(F.max(F.element_at("sketch", -1)).alias("top"), F.sum("bytes").alias("bytes")).collect()
     held = F.broadcast if sum(r["bytes"] for r in parts) <= broadcast_bytes else (lambda df: df)
-    bounds = [max((r["top"] for r in parts if r["item_part"] <= k), default=None) for k in range(PARTS)]
+    bounds = [max((r["top"] for r in parts if r["item_part"] <= k), default=-(2**63)) for k in range(PARTS)]
     sketch_rows = sketch.select("item_id", "item", "item_part", F.explode("sketch").alias("h"))
     searched = (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select("doc_id", normalised(F.col("text")).alias("norm"))
         .withColumn("part", size_part(F.greatest(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 2 - words, F.lit(1))))
-        .withColumn("bound", F.element_at(F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.col("part") + 1))
+        .withColumn("bound", F.coalesce(F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("part") + 1), F.lit(-(2**63))))
     )
     doc_sh = (
         searched.select("doc_id", "part", "bound", F.explode(shingles(F.col("norm"), words)).alias("shingle"))
