@@ -1,8 +1,8 @@
-"""Connected components of an edge table by distributed min-label propagation."""
+"""Connected components of an edge table by distributed contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_path, save
@@ -11,22 +11,37 @@ from .common import drop_path, save
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable, for every id in ``edges`` (a, b).
 
-    Each round takes the least label among neighbours and then jumps to the
-    label's own label, so the rounds grow with the logarithm of the longest
-    path. Every round is written to the shared folder; nothing but a count of
-    changed labels reaches the driver. Messages are combined before each
-    shuffle, so a hub costs one row per task.
+    Each level points every id at its least neighbour or itself, jumps once along
+    these pointers and replaces the ends of all edges by what they point at; equal
+    edges and loops go. At least half of the ids go with each level, a star in
+    one, so the work is that of the first level. The smallest id of a component
+    always points at itself and is what is left. Levels are written to the shared
+    folder; only the number of edges left reaches the driver. The least neighbour
+    is combined before the shuffle, so a hub costs one row per task.
     """
     spark = edges.sparkSession
-    both, both_path = save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels, path = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    edge = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    level, path = save(edges.where("a <> b").select(*edge).distinct(), "edges")
+    maps = []
     while True:
-        told = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        near = labels.join(told, labels.id == told.a).select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        step, new_path = save(near.join(up, "comp", "left").select("id", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")), "labels")
+        near = level.union(level.select("b", "a")).toDF("id", "near").groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("to"))
+        up = near.select(F.col("id").alias("to"), F.col("to").alias("root"))
+        maps.append(save(near.join(up, "to", "left").select("id", F.least("to", F.coalesce("root", "to")).alias("comp")), "pointers"))
+        told = maps[-1][0]
+        moved = level.join(told.toDF("a", "x"), "a").join(told.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        left = Observation()
+        moved = moved.where("a <> b").select(*edge).distinct().observe(left, F.count(F.lit(1)).alias("edges"))
+        level, new_path = save(moved, "edges")
         drop_path(spark, path)
-        path, labels = new_path, step.select("id", "comp")
-        if step.where("comp <> was").limit(1).count() == 0:
-            drop_path(spark, both_path)
-            return labels
+        path = new_path
+        if not left.get["edges"]:
+            break
+    comp = maps[-1][0]
+    for told, _ in reversed(maps[:-1]):
+        comp = told.join(comp.toDF("comp", "root"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    if len(maps) > 1:
+        comp, _ = save(comp, "components")
+        for _, used in maps:
+            drop_path(spark, used)
+    drop_path(spark, path)
+    return comp
