@@ -2,9 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; what it returns is written as Parquet and read again as the next one's
-``docs``. All stages but the last return the columns of ``documents``. Rows with
-a null ``doc_id`` are kept by the dedup stages' rules where no copy with an id
-exists and are ignored by decontamination.
+``docs``. All stages but the last return the columns of ``documents``.
+
+Stages decide on rows, not on ids: a row that shares its ``doc_id`` with another
+text, or has none, is judged by its own text. Of equal texts the largest id stays,
+and rows without an id only if none has one. Rows equal in id and text are one
+document: they stay or go together. Extra columns are dropped, a missing table is
+an error, an empty one gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontaminate, exact_dedup, language_id, near_dedup, sentencepiece_bpe
-from lumenfold.llm.common import read, save
+from lumenfold.llm.common import read, save, with_row_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ROW = "_lumenfold_row"
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +31,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return exact_dedup.kept_rows(docs.select(*COLUMNS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays."""
-    gone = near_dedup.near_dedup(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = with_row_ids(docs.select(*COLUMNS), ROW)
+    gone = near_dedup.near_dedup(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = read(spark, sf_dir, "benchmark", "item_id", "text")
-    gone = decontaminate.contaminated(docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = with_row_ids(docs.select(*COLUMNS), ROW)
+    gone = decontaminate.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
