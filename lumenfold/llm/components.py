@@ -11,22 +11,22 @@ from .common import drop_path, save
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable, for every id in ``edges`` (a, b).
 
-    Each level points every id at its least neighbour or itself, jumps once along
-    these pointers and replaces the ends of all edges by what they point at; equal
-    edges and loops go. At least half of the ids go with each level, a star in
-    one, so the work is that of the first level. The smallest id of a component
-    always points at itself and is what is left. Levels are written to the shared
-    folder; only the number of edges left reaches the driver. The least neighbour
-    is combined before the shuffle, so a hub costs one row per task.
+    Each level points every id at its least neighbour or itself and replaces the
+    ends of all edges by what they point at; equal edges and loops go. At least
+    half of the ids go with each level, a star in one, so the work is about that
+    of the first level. The smallest id of a component always points at itself
+    and is what is left. Levels are written to the shared folder; only the number
+    of edges left reaches the driver. The least neighbour is combined before the
+    shuffle, so a hub costs one row per task, and joins are between written
+    tables, so that the rows of a hub can be split.
     """
     spark = edges.sparkSession
     edge = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     level, path = save(edges.where("a <> b").select(*edge).distinct(), "edges")
     maps = []
     while True:
-        near = level.union(level.select("b", "a")).toDF("id", "near").groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("to"))
-        up = near.select(F.col("id").alias("to"), F.col("to").alias("root"))
-        maps.append(save(near.join(up, "to", "left").select("id", F.least("to", F.coalesce("root", "to")).alias("comp")), "pointers"))
+        near = level.union(level.select("b", "a")).toDF("id", "near").groupBy("id").agg(F.min("near").alias("near"))
+        maps.append(save(near.select("id", F.least("id", "near").alias("comp")), "pointers"))
         told = maps[-1][0]
         moved = level.join(told.toDF("a", "x"), "a").join(told.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         left = Observation()
