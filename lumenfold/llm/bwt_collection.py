@@ -7,7 +7,9 @@ rows dealt stably by the symbol in front of them: a suffix ``c + s`` stands amon
 those that start with ``c`` where ``s`` stands among those preceded by ``c``. A
 round is therefore one sequential pass over the table that appends to one bucket
 for each symbol. Tables of more than ``memory_rows`` rows are kept in files that
-are only read and appended in sequence.
+are only read and appended in sequence, below ``folder`` where one is given (a
+folder that outlives the executor) and as buffers otherwise; no temporary folder
+of the machine is used.
 
 When all symbols are in, neighbouring suffixes are compared for the length asked
 for. (Carrying the common prefixes through every round gives the same result,
@@ -18,7 +20,8 @@ the time of everything else here.)
 from __future__ import annotations
 
 import os
-import tempfile
+import shutil
+import uuid
 
 import numpy as np
 
@@ -52,34 +55,68 @@ def suffix_table(strings: list[bytes], memory_rows: int = 4_000_000, chunk_rows:
     return string.astype(np.int32), table - bases[string]
 
 
+class Files:
+    """Sequential files of one construction: appended to and read in order. Below ``folder``, or kept as buffers without one."""
+
+    def __init__(self, folder: str | None):
+        self.home = os.path.join(folder, f"bwt-{uuid.uuid4().hex}") if folder else None
+        self.held: dict[str, bytearray] = {}
+        if self.home:
+            os.makedirs(self.home)
+
+    def _open(self, name: str, mode: str):
+        return open(os.path.join(self.home, name), mode)
+
+    def append(self, name: str, part: np.ndarray) -> None:
+        if self.home:
+            with self._open(name, "ab") as out:
+                part.tofile(out)
+        else:
+            self.held.setdefault(name, bytearray()).extend(part.tobytes())
+
+    def parts(self, name: str, kind: np.dtype, rows: int):
+        if self.home:
+            with self._open(name, "rb") as f:
+                while len(part := np.fromfile(f, kind, rows)):
+                    yield part
+        else:
+            whole = np.frombuffer(bytes(self.held[name]), kind)
+            yield from (whole[i : i + rows] for i in range(0, len(whole), rows))
+
+    def remove(self, name: str) -> None:
+        if self.home:
+            os.remove(os.path.join(self.home, name))
+        else:
+            del self.held[name]
+
+    def close(self) -> None:
+        if self.home:
+            shutil.rmtree(self.home)
+
+
 def _rounds_in_files(front: np.ndarray, empty: np.ndarray, rounds: int, chunk_rows: int, folder: str | None) -> np.ndarray:
-    with tempfile.TemporaryDirectory(dir=folder) as home:
-        path = os.path.join(home, "table")
-        empty.tofile(path)
+    files = Files(folder)
+    try:
+        files.append("table", empty)
         for _ in range(rounds):
             buckets: dict[int, str] = {}
-            for part in _parts(path, empty.dtype, chunk_rows):
+            for part in files.parts("table", empty.dtype, chunk_rows):
                 ahead = front[part]
                 order = np.argsort(ahead, kind="stable")
                 part, ahead = part[order], ahead[order]
                 symbols, at = np.unique(ahead, return_index=True)
                 for symbol, a, b in zip(symbols.tolist(), at, [*at[1:], len(part)]):
                     if symbol != END:
-                        with open(buckets.setdefault(symbol, os.path.join(home, f"b{symbol}")), "ab") as out:
-                            (part[a:b] + 1).tofile(out)
-            with open(path, "wb") as out:
-                empty.tofile(out)
-                for symbol in sorted(buckets):
-                    for part in _parts(buckets[symbol], empty.dtype, chunk_rows):
-                        part.tofile(out)
-                    os.remove(buckets[symbol])
-        return np.concatenate(list(_parts(path, empty.dtype, chunk_rows)))
-
-
-def _parts(path: str, kind: np.dtype, rows: int):
-    with open(path, "rb") as f:
-        while len(part := np.fromfile(f, kind, rows)):
-            yield part
+                        files.append(buckets.setdefault(symbol, f"b{symbol}"), part[a:b] + 1)
+            files.remove("table")
+            files.append("table", empty)
+            for symbol in sorted(buckets):
+                for part in files.parts(buckets[symbol], empty.dtype, chunk_rows):
+                    files.append("table", part)
+                files.remove(buckets[symbol])
+        return np.concatenate(list(files.parts("table", empty.dtype, chunk_rows)))
+    finally:
+        files.close()
 
 
 def repeats(strings: list[bytes], owner: np.ndarray, length: int, **table) -> tuple[np.ndarray, np.ndarray]:
