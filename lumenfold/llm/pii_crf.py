@@ -10,15 +10,18 @@ shapes in a window of two tokens, spacing and a few cue words; it is trained by
 gradient ascent on the likelihood of a small labelled table (``TABLE`` below,
 filled by rule) and decoded by Viterbi over padded numpy batches. Tokens further
 than ``REACH`` tokens from every digit run and ``@``, and in no unspaced run with
-one, are O by definition, so only the stretches around those are decoded, whole
-texts being searched for them. A
+one, are O by definition (the features see two tokens to either side), so only
+the stretches around those are decoded, each of them whole, and whole texts are
+searched for them. A
 decoded span is added if it overlaps no base span and has the kind's form: a
 phone 8 to 15 digits in at least two groups, a card 13 to 19 digits passing
 Luhn, an ip four parts up to 255, an email an ``@`` between letters.
 
 Spans are code points, end exclusive. Null texts count as empty; texts without a
 match have zero counts, empty spans and the digest of the empty string. Searches
-are linear in the text. Rows are independent; extra columns are ignored.
+are linear in the text. Rows are independent: repeated ones and ones without an
+id are returned as often as they occur. An empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -327,15 +330,26 @@ def _valid(kind: str, value: str) -> bool:
     return bool(re.fullmatch(r"[^\s@]*[^\W_][^\s@]*@[^\s@]*[^\W_]\.[^\s@]*[^\W_]", value))
 
 
-def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field, batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans the field finds beside the base ones, for each text."""
+def _batches(todo: list[tuple[int, list[tuple[int, int]]]], cells: int) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """Stretches by length, as many at once as fill ``cells`` tokens when padded; one at least, whatever its length."""
+    part: list[tuple[int, list[tuple[int, int]]]] = []
+    for x in sorted(todo, key=lambda x: len(x[1])):
+        if part and (len(part) + 1) * len(x[1]) > cells:
+            yield part
+            part = []
+        part.append(x)
+    if part:
+        yield part
+
+
+def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field, cells: int = 20_000) -> list[list[tuple[str, int, int]]]:
+    """Spans the field finds beside the base ones, for each text. Every stretch is decoded whole."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     todo: list[tuple[int, list[tuple[int, int]]]] = []
+    waiting = 0
 
     def decode() -> None:
-        todo.sort(key=lambda x: len(x[1]))
-        for start in range(0, len(todo), batch):
-            part = todo[start : start + batch]
+        for part in _batches(todo, cells):
             for (i, toks), tags in zip(part, field.viterbi([features(texts[i], toks) for i, toks in part])):
                 k = 0
                 while k < len(toks):
@@ -353,10 +367,11 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field:
 
     for i, text in enumerate(texts):
         for toks in stretches(text):
-            for start in range(0, len(toks), 400):  # very long stretches are decoded in parts that overlap
-                todo.append((i, toks[max(0, start - 20) : start + 400]))
-        if len(todo) >= 4 * batch:
+            todo.append((i, toks))
+            waiting += len(toks)
+        if waiting >= 4 * cells:
             decode()
+            waiting = 0
     decode()
     return [sorted(set(x)) for x in out]
 

@@ -27,7 +27,9 @@ A header's or payload's JSON may have blanks and line breaks after its brace.
 Spans are code points, end exclusive. Null texts count as empty; a text without
 a match has zero counts, an empty ``spans`` and the digest of the empty string.
 All patterns are linear in the text (long runs cannot be entered again from
-their middle). Extra columns are ignored; rows are independent of each other.
+their middle). Rows are independent: repeated ones and ones without an id are
+returned as often as they occur. An empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
