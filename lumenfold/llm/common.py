@@ -103,7 +103,7 @@ def word_hash(words: Iterable[bytes], cache: dict[bytes, int]) -> np.ndarray:
 class HashCache(dict):
     """word -> xxh64, forgotten as a whole at ``limit`` entries so that memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -124,7 +124,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(batch: pa.RecordBatch, chars: int = 4_000_000, col: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, chars: int = 2_000_000, col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a record batch into pieces of about ``chars`` characters (one row at least)."""
     size = pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
@@ -137,7 +137,7 @@ def slices(batch: pa.RecordBatch, chars: int = 4_000_000, col: str = "text") ->
         yield batch.slice(start)
 
 
-def texts_of(arrays: Iterator[pa.Array], chars: int = 4_000_000) -> Iterator[tuple[pa.Array, Iterator[list[str | None]]]]:
+def texts_of(arrays: Iterator[pa.Array], chars: int = 2_000_000) -> Iterator[tuple[pa.Array, Iterator[list[str | None]]]]:
     """Each Arrow array with its texts as lists of about ``chars`` characters (one row at least), so that few are Python objects at once."""
     for array in arrays:
         batch = pa.RecordBatch.from_arrays([array], names=["text"])

@@ -18,7 +18,7 @@ repeated ones are treated alike; a null ``doc_id`` is trained on and predicted
 like others; an empty table gives an empty result. Extra columns stay as they
 are, but columns named ``lang_pred``, ``lang_score`` and ``lang_rejected`` are
 replaced. Whole texts are read, whatever their length; of an Arrow batch about
-four million characters are Python objects at once.
+two million characters are Python objects at once.
 """
 
 from __future__ import annotations
