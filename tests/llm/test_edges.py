@@ -284,3 +284,25 @@ def test_scratch_folder_is_never_local_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+@pytest.mark.parametrize(("many", "hot", "rows_per_batch"), [(2, 3, 7), (2, 10**6, 3), (10**6, 3, 1), (3, 20, 1000)])
+def test_substrings_of_hot_passages_against_brute_force(spark, many, hot, rows_per_batch):
+    """One passage in many surroundings, dealt by context and compared by windows, in batches of a few rows."""
+    rng = np.random.default_rng(many + hot)
+    word = lambda n: "".join(rng.choice(list("abcé "), n))
+    common_, other = word(90), "xy" * 40
+    rows = []
+    for i in rng.permutation(120).tolist():
+        a, b = sorted(rng.integers(0, 90, 2).tolist())
+        rows.append((i, word(int(rng.integers(0, 60))) + common_[a:] + other[: int(rng.integers(0, 80))] + common_[: b + 20] + word(int(rng.integers(0, 60)))))
+    rows += [(200 + i, word(10) + common_ + common_) for i in range(30)] + [(300, other * 3), (301, None), (302, common_[:30])]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, rows_per_batch)
+    try:
+        table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+        got = sorted(tuple(r) for r in substring_dedup.remove_repeats(table, many=many, hot=hot).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == brute_repeats([(d, t or "") for d, t in rows])
