@@ -67,6 +67,43 @@ def test_kernel_fda_with_a_linear_kernel_is_the_discriminant():
     assert (a == b).mean() > 0.98
 
 
+@pytest.mark.parametrize("kernel", ["linear", "polynomial", "rbf"])
+def test_kernel_fda_of_many_samples_needs_no_matrix_of_samples(kernel):
+    """The dense discriminant of the definition on few samples; many samples in memory that n x n numbers do not fit."""
+    import tracemalloc
+
+    x, y = two(150, 4, 0.8)
+    y[::5] = 3
+    p = models.DEFAULTS["kernel_fda"] | {"kernel": kernel}
+    k, n = models._kernel(p, x, x), len(x)
+    m = np.stack([k[:, y == c].mean(1) for c in (1, 2, 3)])
+    within = sum(k[:, y == c] @ k[:, y == c].T - (y == c).sum() * np.outer(v, v) for c, v in zip((1, 2, 3), m))
+    between = sum((y == c).sum() * np.outer(v - k.mean(1), v - k.mean(1)) for c, v in zip((1, 2, 3), m))
+    root = np.linalg.inv(np.linalg.cholesky((1 - p["lambda"]) * within + p["lambda"] * np.eye(n) * np.trace(within) / n))
+    a = root.T @ np.linalg.eigh(root @ between @ root.T)[1][:, ::-1][:, :2]
+    new = np.random.default_rng(5).normal(size=(40, 4))
+    want = models.predict_centroid({"axes": a, "centroids": m @ a, "classes": np.array([1, 2, 3])}, models._kernel(p, new, x))
+    got = models.MODELS["kernel_fda"][1](models.fit_kernel_fda(x, y, p), new)
+    assert np.allclose(got["prob_all"], want["prob_all"], atol=1e-4) and (got["pred"] == want["pred"]).all()
+    x, y = two(6000, 4, 0.8)
+    tracemalloc.start()
+    model = models.fit_kernel_fda(x / 20, y, p)
+    assert (models.MODELS["kernel_fda"][1](model, x / 20)["pred"] == y).mean() > 0.7
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 8 / 2
+
+
+def test_models_of_all_folds_equal_models_of_each():
+    x, y = two(90, 3, 0.8)
+    fold = np.arange(90) % 4  # fold 0 is trained on only
+    for name, fit, predict, target in (("kernel_fda", models.fit_kernel_fda, models.MODELS["kernel_fda"][1], y), ("kernel_ridge", models.fit_kernel_ridge, models.predict_kernel_ridge, x[:, 0] ** 2)):
+        p = models.DEFAULTS[name]
+        for f, model in models.FOLDS[name](x, target, fold, p, [1, 2, 3]):
+            one, other = predict(fit(x[fold != f], target[fold != f], p), x[fold == f]), predict(model, x[fold == f])
+            assert all(np.allclose(one[k], other[k], atol=1e-6) for k in one)
+
+
 def test_ensemble_of_one_whole_learner_is_the_learner():
     x, y = two()
     p = models.DEFAULTS["ensemble"] | {"nlearners": 1, "nfeatures": 5, "nsamples": 40, "replace": False}
