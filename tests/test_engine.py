@@ -59,6 +59,49 @@ def test_svm_meets_its_optimality_conditions():
     assert np.allclose(got["dval"], k @ (a * t), atol=0.02) and ((got["prob"] > 0.5) == (got["dval"] > 0)).mean() > 0.9
 
 
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_svm_of_many_samples_needs_no_matrix_of_samples(kernel):
+    import tracemalloc
+
+    p = models.DEFAULTS["svm"] | {"kernel": kernel, "gamma": 0.01}
+    x, y = two(400, 3, 0.8)
+    t, k = np.where(y == 1, 1.0, -1.0), models._kernel(p, x, x) + 1
+    a, _ = models.dual_descent((k + 1e-9 * np.eye(len(x))) * np.outer(t, t), 1.0, tol=1e-7, max_sweeps=20000)
+    assert np.allclose(models.predict_svm(models.fit_svm(x, y, p), x)["dval"], k @ (a * t), atol=2e-3)
+    x, y = two(6000, 3, 0.8)
+    tracemalloc.start()
+    assert (models.predict_svm(models.fit_svm(x, y, p), x)["pred"] == y).mean() > 0.6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 8 / 2
+
+
+def test_svm_of_repeated_and_of_separable_samples():
+    p = models.DEFAULTS["svm"] | {"kernel": "linear"}
+    x, y = two(60, 3, 9.0)
+    assert (models.predict_svm(models.fit_svm(x, y, p), x)["pred"] == y).all()
+    same = np.repeat(x[:2], 30, 0)
+    assert (models.predict_svm(models.fit_svm(same, np.repeat(y[:2], 30), p), x[:2])["pred"] == y[:2]).all()
+    m = models.fit_svm(np.ones((10, 2)), np.arange(10) % 2 + 1, p)  # two classes of one point
+    assert np.isfinite(models.predict_svm(m, np.ones((1, 2)))["dval"]).all()
+
+
+def test_kernel_ridge_of_many_samples_needs_no_matrix_of_samples():
+    import tracemalloc
+
+    p = models.DEFAULTS["kernel_ridge"]
+    x, _ = two(200, 4)
+    y = np.sin(x[:, 0])
+    k = models._kernel(p, x, x)
+    assert np.allclose(models.predict_kernel_ridge(models.fit_kernel_ridge(x, y, p), x)["pred"], k @ np.linalg.solve(k + np.eye(200), y), atol=1e-7)
+    x = np.random.default_rng(3).normal(size=(6000, 4)) / 10
+    tracemalloc.start()
+    got = models.predict_kernel_ridge(models.fit_kernel_ridge(x, np.sin(x[:, 0]), p), x)["pred"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, np.sin(x[:, 0]), atol=0.05) and peak < 6000 * 6000 * 8 / 2
+
+
 def test_kernel_fda_with_a_linear_kernel_is_the_discriminant():
     x, y = two(60, 4, 0.8)
     k = models.fit_kernel_fda(x, y, models.DEFAULTS["kernel_fda"] | {"kernel": "linear", "reg": "ridge", "lambda": 1e-6})
