@@ -31,6 +31,21 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
+def test_toxicity_reads_every_labelled_row(spark, monkeypatch):
+    """A word that only rows beyond the driver's own bound hold is learned, and all rows of the fifth calibrate."""
+    n = 1200
+    rows = [(i, ("vile " if i % 4 == 0 else "kind ") + f"and so on {i % 7} of the rest") for i in range(n)]
+    df, labels = spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(n)], "doc_id BIGINT, toxic INT")
+    seen, start = [], []
+    calibrate, train = toxicity.calibrate, toxicity.train
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, z, *a: seen.append(len(z)) or calibrate(m, z, *a))
+    monkeypatch.setattr(toxicity, "train", lambda texts, *a: start.append(len(texts)) or train([[w for w in t if w != "vile"] for t in texts], *a))
+    model = toxicity.fit(df, labels, F.lit(True), positives=40, negatives=60)
+    assert start[0] < 200 and 180 < seen[-1] < 300 and not model.squares
+    got = toxicity.score_column(df, model).collect()
+    assert np.mean([(r["toxicity"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got]) > 0.95
+
+
 def test_toxicity_fits_scores_and_calibrates(spark, odd, none):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
