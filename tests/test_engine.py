@@ -76,6 +76,18 @@ def test_svm_of_many_samples_needs_no_matrix_of_samples(kernel):
     assert peak < 6000 * 6000 * 8 / 2
 
 
+def test_tuned_svm_of_many_samples_needs_no_matrix_of_samples():
+    import tracemalloc
+
+    x, y = two(5000, 3, 0.8)
+    tracemalloc.start()
+    m = models.fit_svm(x, y, models.DEFAULTS["svm"] | {"kernel": "linear", "c": [0.1, 1.0]})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    each = [models.fit_svm(x, y, models.DEFAULTS["svm"] | {"kernel": "linear", "c": c}) for c in (0.1, 1.0)]
+    assert peak < 4000 * 4000 * 8 / 2 and any(np.allclose(m["w"], e["w"]) for e in each)
+
+
 def test_svm_of_repeated_and_of_separable_samples():
     p = models.DEFAULTS["svm"] | {"kernel": "linear"}
     x, y = two(60, 3, 9.0)
