@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns of every operator, and brute force where SQL has no word."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -268,6 +269,57 @@ def test_html_of_odd_pages(spark):
     assert html_extract.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_array_orders_all_pages_of_a_host():
+    """One array for the pages of a host: suffixes of different pages in one order, intervals of a common prefix, pages counted once."""
+    rng = random.Random(3)
+    pages = [[" ".join(rng.choice("abc") for _ in range(rng.choice((3, 8, 30)))) for _ in range(3)] for _ in range(9)] + [[]]
+    place, interval, page, toks = html_extract.host_array(pages)
+    joined = [w for k, t in enumerate(toks) for w in (*t, f"~{k:03}")]
+    first = {w: k for k, w in reversed(list(enumerate(joined)))}  # tokens are ordered by their first place, blocks' ends last
+    suffixes = [[(w[0] == "~", first[w]) for w in joined[p : p + html_extract.RUN]] for p in place]
+    assert suffixes == sorted(suffixes) and len(place) == sum(len(t) - html_extract.RUN + 1 for t in toks)
+    assert [a == b for a, b in zip(suffixes, suffixes[1:])] == [a == b for a, b in zip(interval, interval[1:])]
+    foot = "one two three four five six seven eight nine"
+    assert html_extract.shared_runs(pages) == [] and set(page) <= set(range(9))
+    some = [[*texts, f"{foot} {foot}"] if k < 6 else texts for k, texts in enumerate(pages)]
+    turns = [" ".join((foot.split() * 2)[k : k + html_extract.RUN]) for k in range(9)]  # the tenth run is the first again
+    assert sorted(html_extract.shared_runs(some)) == sorted((run, 6) for run in turns)
+
+
+@pytest.mark.parametrize("piece", (100_000, 40))
+def test_html_of_hosts_in_one_and_several_arrays(spark, monkeypatch, piece):
+    """Equal to brute force over whole hosts, whether a host is one array or dealt over many."""
+    monkeypatch.setattr(html_extract, "PIECE", piece)
+    rng = random.Random(5)
+    foot, half, note = ([f"{x}{k}" for k in range(14)] for x in "fhn")
+    rows, parts = [], {}
+    for i in range(60):
+        host = rng.choice(("one.example", "two.example", "three.example"))
+        body = [f"w{rng.randrange(40)}" for _ in range(rng.choice((2, 9, 40)))]
+        texts = [body, *([foot] if rng.random() < 0.8 else []), *([half] if rng.random() < 0.5 else []), *([note[:9] + body] if rng.random() < 0.6 else [])]
+        marked = i % 7 == 0
+        rows.append((i, f"http://{host}/{i}", "".join(f"<{'article' if marked and t is body else 'div'}>{' '.join(t)}</{'article' if marked and t is body else 'div'}>" for t in texts)))
+        parts[i] = (host, marked, texts)
+    run = html_extract.RUN
+    runs = lambda t: {tuple(t[k : k + run]) for k in range(len(t) - run + 1)}
+    want = {}
+    for i, (host, marked, texts) in parts.items():
+        pages = {str(p[1:]): p for p in parts.values() if p[0] == host}.values()
+        count = {}
+        for _, m, ts in pages:
+            for r in set().union(*(runs(t) for t in ts[m:])):
+                count[r] = count.get(r, 0) + 1
+        cut = {r for r, n in count.items() if n > len(pages) / 2}
+        left = []
+        for t in texts[:1] if marked else texts:
+            gone = set() if marked else {k + j for k in range(len(t) - run + 1) if tuple(t[k : k + run]) in cut for j in range(run)}
+            left += [w for k, w in enumerate(t) if k not in gone]
+        want[i] = " ".join(left)
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").repartition(7)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == want and any(len(want[i].split()) < sum(map(len, parts[i][2])) for i in want if not parts[i][1])
+
+
 def test_pipeline_judges_rows_not_ids(spark):
     """A copy under the id of a unique text, copies without an id, and ids that repeat."""
     unique, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
