@@ -95,3 +95,43 @@ def test_binomial_tail():
         assert math.isclose(stats.binomial_tail(n // 2, n, 0.5), 0.5, rel_tol=1e-9)
     third = [math.comb(30, k) * (1 / 3) ** k * (2 / 3) ** (30 - k) for k in range(31)]
     assert all(math.isclose(stats.binomial_tail(h, 30, 1 / 3), sum(third[h + 1 :]), rel_tol=1e-9) for h in range(30))
+
+
+@pytest.mark.parametrize("name", ["linear"])
+def test_pairs_take_fewer_bytes_than_their_values(spark, tmp_path, name):
+    """Files of all pairs, which grow with the square of the table: a pair took more than the 8 bytes of its value."""
+    n, rng = 2100, np.random.default_rng(5)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n) * 3), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.zeros(n, np.int32))}), tmp_path / "embeddings.parquet")
+    catalog.QUERIES[f"kernel_{name}"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got = pq.read_table(tmp_path / "out").to_pandas()
+    x = x.astype(float)
+    want = x @ x.T if name == "linear" else np.exp(-0.1 * (2 - 2 * x @ x.T))
+    assert len(got) == n * (n + 1) // 2 and (got["i"] <= got["j"]).all() and not got.duplicated(["i", "j"]).any()
+    assert np.allclose(got["k"], want[got["i"] // 3, got["j"] // 3], atol=2e-6) and (got["k"] == np.round(got["k"], 6)).all()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7.5 * len(got)
+
+
+def test_ordered_pairs_of_odd_samples(spark, monkeypatch):
+    """Ids shared by more samples than a block holds, values too large to order, infinite and undefined ones."""
+    from lumenfold.functions import kernels
+
+    monkeypatch.setattr(kernels, "SIDE", 4)
+    monkeypatch.setattr(kernels, "ORDERED_SIDE", 5)
+    monkeypatch.setattr(kernels, "PAIRS_PER_BATCH", 7)
+    rng = np.random.default_rng(11)
+    ids = np.append(np.arange(-9, 20), [3] * 12)
+    x = rng.normal(size=(len(ids), 3))
+    for scale, odd in ((1.0, []), (1e-4, []), (1e7, []), (1e120, []), (1.0, [np.nan, np.inf])):
+        z = x * scale
+        z[: len(odd), 0] = odd
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, z)], "sample_id BIGINT, features ARRAY<DOUBLE>")
+        with np.errstate(all="ignore"):
+            k = np.round((z[:, None] * z[None]).sum(-1) + 0.5 * (ids[:, None] == ids), 6)
+        on = ids[:, None] <= ids
+        pick = lambda i, j, v: np.array(v)[np.lexsort((np.nan_to_num(v, nan=np.inf), j, i))]
+        a, b = np.broadcast_to(ids[:, None], on.shape)[on], np.broadcast_to(ids, on.shape)[on]
+        got = kernels.kernel_matrix(df, "linear", regularise=0.5, digits=6).toPandas()
+        assert sorted(zip(got["i"], got["j"])) == sorted(zip(a, b))
+        assert np.allclose(pick(got["i"], got["j"], got["k"]), pick(a, b, k[on]), atol=2e-6, rtol=1e-12, equal_nan=True)
