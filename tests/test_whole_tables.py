@@ -97,7 +97,7 @@ def test_binomial_tail():
     assert all(math.isclose(stats.binomial_tail(h, 30, 1 / 3), sum(third[h + 1 :]), rel_tol=1e-9) for h in range(30))
 
 
-@pytest.mark.parametrize("name", ["linear"])
+@pytest.mark.parametrize("name", ["linear", "rbf"])
 def test_pairs_take_fewer_bytes_than_their_values(spark, tmp_path, name):
     """Files of all pairs, which grow with the square of the table: a pair took more than the 8 bytes of its value."""
     n, rng = 2100, np.random.default_rng(5)
